@@ -244,7 +244,7 @@ def _chosen(toxic: dict, clean: dict) -> dict:
     return out
 
 
-def _logistic(rows: list[tuple], width: int, steps: int = 800, ridge: float = 0.1) -> tuple[list[float], float]:
+def _logistic(rows: list[tuple], width: int, steps: int = 4000, ridge: float = 0.02) -> tuple[list[float], float]:
     """Weights and intercept of a ridge logistic regression by gradient steps
     with per-feature scaling; deterministic."""
     import numpy as np
