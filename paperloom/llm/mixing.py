@@ -120,15 +120,21 @@ def mix(docs: DataFrame, weights=WEIGHTS, max_repeats: int = MAX_REPEATS) -> Dat
         F.struct("size", "cum").alias("mix_order"),
         F.explode(F.transform(F.sequence(F.lit(0), F.col("repeats").cast("int") - 1), lambda e: (F.col("cum") + e * F.col("source_size")) / F.col("target"))).alias("finish"),
     )
-    same = Window.partitionBy("mix_key", "mix_source", "mix_size")
+    turns = turns.withColumn("mix_size", F.col("mix_order.size"))
     texts = docs.select(
         F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("mix_key"),
         F.coalesce("source", F.lit("")).alias("mix_source"),
-        F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("mix_size"),
         F.struct(*docs.columns).alias("doc"),
-    ).withColumn("copy", F.row_number().over(same.orderBy(F.xxhash64("doc.text"))))
-    turns = turns.withColumn("mix_size", F.col("mix_order.size")).withColumn("copy", F.dense_rank().over(same.orderBy("mix_order.cum")))
-    out = texts.join(turns, ["mix_key", "mix_source", "mix_size", "copy"]).select("doc.*", "finish", "mix_key")
+    )
+    on = ["mix_key", "mix_source"]
+    if docs.groupBy("doc_id").count().where("count > 1").limit(1).count():
+        # Rows of one doc_id, source and size take their turns by text.
+        on += ["mix_size", "copy"]
+        same = Window.partitionBy("mix_key", "mix_source", "mix_size")
+        texts = texts.withColumn("mix_size", F.coalesce(F.regexp_count("doc.text", F.lit(WORD)), F.lit(0)).cast("long"))
+        texts = texts.withColumn("copy", F.row_number().over(same.orderBy(F.xxhash64("doc.text"))))
+        turns = turns.withColumn("copy", F.dense_rank().over(same.orderBy("mix_order.cum")))
+    out = texts.join(turns.select(*on, "finish"), on).select("doc.*", "finish", "mix_key")
     return out.repartitionByRange("finish", "mix_key").sortWithinPartitions("finish", "mix_key").drop("finish", "mix_key")
 
 

@@ -3,7 +3,7 @@ parameters, and the SQL for those that SQL can express."""
 
 from __future__ import annotations
 
-from . import bpe, html, jaccard, mixing, pii, quality, topk, toxicity, warc
+from . import bpe, html, jaccard, mixing, pii, quality, suffixes, topk, toxicity, warc
 from .common import table
 
 
@@ -27,6 +27,10 @@ def op5_bpe(spark, sf_dir):
     return bpe.encode_report(table(spark, sf_dir, "documents"))
 
 
+def op6_suffix_array_dedup(spark, sf_dir):
+    return suffixes.dedup_report(table(spark, sf_dir, "documents"))
+
+
 def op7_source_mix(spark, sf_dir):
     return mixing.mix_report(table(spark, sf_dir, "documents"))
 
@@ -43,5 +47,5 @@ def op10_quality(spark, sf_dir):
     return quality.quality_report(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_html_main_text, op3_toxicity, op4_exact_topk, op5_bpe, op7_source_mix, op8_warc, op9_pii, op10_quality)}
+QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_html_main_text, op3_toxicity, op4_exact_topk, op5_bpe, op6_suffix_array_dedup, op7_source_mix, op8_warc, op9_pii, op10_quality)}
 SQL = {"op4_exact_topk": topk.SQL, "op7_source_mix": mixing.SQL, "op8_warc": warc.SQL, "op10_quality": quality.SQL}

@@ -279,14 +279,15 @@ def score(docs: DataFrame, model: dict, *keep: str) -> DataFrame:
         starts = {w[:SHORTEST] for w in weights}
         for batch in batches:
             out = []
-            for text in batch.column(batch.num_columns - 1).to_pylist():
+            for text in batch.column(place).to_pylist():
                 words = {w for w in restore.words(text or "") if w[:SHORTEST] in starts}
                 known = sorted(weights.keys() & beginnings(words))
                 z = b + sum(weights[w] for w in known) + (model["any"] if known else 0.0)
                 out.append(1 / (1 + math.exp(-max(-30.0, min(30.0, z)))))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(out, pa.float64())], [*batch.schema.names[:-1], "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(out, pa.float64())], [*keep, "score"])
 
-    return docs.select(*keep, F.col("text").alias("toxicity_text")).mapInArrow(run, schema)
+    place = keep.index("text") if "text" in keep else len(keep)
+    return docs.select(*keep, *([] if "text" in keep else ["text"])).mapInArrow(run, schema)
 
 
 def toxicity_report(docs: DataFrame, labels: DataFrame) -> DataFrame:
