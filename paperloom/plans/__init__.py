@@ -1,4 +1,6 @@
 """Registered queries and their SQL counterparts."""
 
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
+from . import business
+from .registry import FLAGSHIP, QUERIES, SQL
+
+__all__ = ["FLAGSHIP", "QUERIES", "SQL", "business"]
