@@ -1,6 +1,6 @@
 """Registered queries and their SQL counterparts."""
 
-from . import analytics, business
+from . import analytics, business, texts
 from .registry import FLAGSHIP, QUERIES, SQL
 
-__all__ = ["FLAGSHIP", "QUERIES", "SQL", "analytics", "business"]
+__all__ = ["FLAGSHIP", "QUERIES", "SQL", "analytics", "business", "texts"]
