@@ -1,6 +1,6 @@
 """Registered queries and their SQL counterparts."""
 
-from . import analytics, business, texts
+from . import analytics, business, streams, texts
 from .registry import FLAGSHIP, QUERIES, SQL
 
-__all__ = ["FLAGSHIP", "QUERIES", "SQL", "analytics", "business", "texts"]
+__all__ = ["FLAGSHIP", "QUERIES", "SQL", "analytics", "business", "streams", "texts"]
