@@ -31,6 +31,8 @@ from functools import cache
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import texts_of
+
 VOCABULARY = "word_bpe_49k.json"
 #: Words that a worker keeps before it starts anew, and the longest kept.
 KEPT_WORDS, KEPT_LENGTH = 400_000, 40
@@ -197,7 +199,7 @@ def _mapped(docs: DataFrame, vocabulary: str, schema: str, row) -> DataFrame:
 
         bpe = encoder(vocabulary)
         for batch in batches:
-            got = [row(bpe, *bpe.encoded(t or "")) for t in batch.column(1).to_pylist()]
+            got = [row(bpe, *bpe.encoded(t)) for t in texts_of(batch.column(1))]
             cols = list(zip(*got)) if got else [[] for _ in names[1:]]
             yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(list(c), type=t) for c, t in zip(cols, types())]], names)
 

@@ -52,3 +52,10 @@ def let(value: Column, body) -> Column:
 def words(text: Column) -> Column:
     """Array of the words of a text; empty for null."""
     return F.filter(F.split(F.coalesce(text, F.lit("")), SPACE), lambda w: w != "")
+
+
+def texts_of(column, step: int = 256):
+    """The strings of an Arrow column, few at a time; nulls are empty."""
+    for i in range(0, len(column), step):
+        for text in column.slice(i, step).to_pylist():
+            yield text or ""

@@ -28,6 +28,8 @@ import re
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import cut, texts_of
+
 TRAIN_ROWS = 20_000
 #: Most words in the model; a word's least rows and share of toxic rows.
 MOST_WORDS, LEAST_ROWS, LEAST_SHARE, LEAST_PRECISION, MOST_CANDIDATES = 400, 8, 0.01, 0.8, 50_000
@@ -41,7 +43,7 @@ LETTERS = "abcdefghijklmnopqrstuvwxyz"
 EDGE = 26
 LONGEST = 48
 #: Words that a worker keeps restored before it starts anew.
-KEPT = 200_000
+KEPT = 50_000
 
 _SPACED = re.compile(r"(?<!\S)(?:[^\W_][ .\-_*]{1,2}|[@$!|0-9][ .\-_*]{1,2}){2,30}[^\W_](?!\w)")
 _TRIPLE = re.compile(r"([a-z@$!0-9])\1\1")
@@ -60,8 +62,8 @@ def trigram_counts(docs: DataFrame) -> list[int]:
             place[ord(c)] = place[ord(c.upper())] = i
         total = np.zeros(27**3, np.int64)
         for batch in batches:
-            for text in batch.column(0).to_pylist():
-                x = place[np.frombuffer(f" {text or ''} ".encode("utf-8", "replace"), np.uint8)]
+            for text in texts_of(batch.column(0)):
+                x = place[np.frombuffer(f" {text} ".encode("utf-8", "replace"), np.uint8)]
                 total += np.bincount(x[:-2] * 729 + x[1:-1] * 27 + x[2:], minlength=27**3)
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["gram", "n"])
@@ -167,8 +169,6 @@ def training_rows(docs: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS) ->
 
 def fit(docs: DataFrame, labels: DataFrame) -> dict:
     """The model: trigram costs, word weights, intercept."""
-    from .common import cut
-
     costs = language_model(trigram_counts(docs))
     rows = cut(training_rows(docs, labels).select("text", "toxic"), "training")
 
@@ -187,8 +187,8 @@ def fit(docs: DataFrame, labels: DataFrame) -> dict:
                 return pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], ["part", "n"])
 
             for batch in batches:
-                for text in batch.column(0).to_pylist():
-                    own = beginnings(restore.words(text or ""))
+                for text in texts_of(batch.column(0)):
+                    own = beginnings(restore.words(text))
                     for x in own if only is None else own & only:
                         counts[x] = counts.get(x, 0) + 1
                     if len(counts) > KEPT:
@@ -211,7 +211,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> dict:
 
         restore = Restorer(costs)
         for batch in batches:
-            found = [sorted(known[w] for w in beginnings(restore.words(t or "")) if w in known) for t in batch.column(0).to_pylist()]
+            found = [sorted(known[w] for w in beginnings(restore.words(t)) if w in known) for t in texts_of(batch.column(0))]
             yield pa.RecordBatch.from_arrays([pa.array(found, pa.list_(pa.int64())), batch.column(1)], ["at", "toxic"])
 
     data = rows.select("text", F.col("toxic").cast("long")).mapInArrow(features, "at array<long>, toxic long").groupBy("at", "toxic").count().collect()
@@ -279,8 +279,8 @@ def score(docs: DataFrame, model: dict, *keep: str) -> DataFrame:
         starts = {w[:SHORTEST] for w in weights}
         for batch in batches:
             out = []
-            for text in batch.column(place).to_pylist():
-                words = {w for w in restore.words(text or "") if w[:SHORTEST] in starts}
+            for text in texts_of(batch.column(place)):
+                words = {w for w in restore.words(text) if w[:SHORTEST] in starts}
                 known = sorted(weights.keys() & beginnings(words))
                 z = b + sum(weights[w] for w in known) + (model["any"] if known else 0.0)
                 out.append(1 / (1 + math.exp(-max(-30.0, min(30.0, z)))))
