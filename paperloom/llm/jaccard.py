@@ -55,6 +55,8 @@ TRIES = 5
 SKETCH = 128
 #: Regions up to so many sets are solved in one task.
 LOCAL = 2048
+#: Rounds that take only the largest cell of each member.
+TURNS = 4
 #: Copies of a text that a task remembers, to pass on one of them.
 REMEMBERED = 500_000
 
@@ -369,7 +371,7 @@ def join(docs: DataFrame, width: int = 5, p: int = 8, q: int = 10) -> DataFrame:
         if not sets_of.where("low <> high").limit(1).count():
             break
         seed += 1  # two sets with one digest: other hashes tell them apart
-    texts, links, comp, level = None, None, None, 0
+    texts, links, comp, level, radius = None, None, None, 0, 1 - p / q
     rows = docs.where("doc_id is not null and text is not null").select(F.lit(0).cast("long").alias("space"), "text")
 
     def differing(pairs: DataFrame) -> DataFrame:
@@ -397,22 +399,33 @@ def join(docs: DataFrame, width: int = 5, p: int = 8, q: int = 10) -> DataFrame:
         comp = components(links)
         links = cut(links.union(linked(compare(differing(near.join(first, ["a", "b"], "left_anti")), "rest"))), "links")
         comp = components(links)
-        crowds = found.where("crowd").select("cell", "a", "b")
-        open_cells = differing(crowds).select("cell").distinct()
-        members = cut(crowds.join(open_cells, "cell"), "members")
-        if not members.limit(1).count():
+        # Crowded cells that hold several components, the largest of each member
+        # first: what it links often settles the others.
+        waiting, again, turn = found.where("crowd").select("cell", "a", "b"), None, 0
+        while True:
+            members = cut(waiting.join(differing(waiting).select("cell").distinct(), "cell"), "members")
+            if not members.limit(1).count():
+                break
+            now = members
+            if turn < TURNS:
+                sizes = members.groupBy("cell").agg(F.count("*").alias("n"))
+                largest = members.join(sizes, "cell").groupBy("a").agg(F.max(F.struct("n", "cell")).alias("x")).select("x.cell").distinct()
+                now = cut(members.join(largest, "cell"), "now")
+            waiting, turn = members.join(now.select("cell").distinct(), "cell", "left_anti"), turn + 1
+            far = compare(now.select("a", "b").distinct(), "distances").withColumn("d", 1 - F.col("shared") / F.col("whole"))
+            far = now.join(far, ["a", "b"])
+            border = far.where(F.col("d") > radius + 1e-12).groupBy("cell").agg(F.min("d").alias("border"))
+            kept = cut(far.join(border, "cell").where(F.col("d") >= F.least(F.col("border") - radius, F.lit(radius)) - 1e-9).select("cell", F.col("a").alias("id")), "kept")
+            large = kept.groupBy("cell").count().where(F.col("count") > LOCAL).select("cell")
+            roots = kept.join(large, "cell", "left_anti").join(comp.select(F.col("u").alias("id"), F.col("v").alias("root")), "id", "left")
+            local = roots.select("cell", "id", F.coalesce("root", "id").alias("root")).join(texts, "id")
+            links = cut(links.union(_solved(local, width, seed, p, q)), "links")
+            comp = components(links)
+            more = kept.join(large, "cell").select("cell", "id")
+            again = more if again is None else again.union(more)
+        if again is None:
             break
-        far = compare(members.select("a", "b").distinct(), "distances").withColumn("d", 1 - F.col("shared") / F.col("whole"))
-        radius = 1 - p / q
-        far = members.join(far, ["a", "b"])
-        border = far.where(F.col("d") > radius + 1e-12).groupBy("cell").agg(F.min("d").alias("border"))
-        kept = cut(far.join(border, "cell").where(F.col("d") >= F.least(F.col("border") - radius, F.lit(radius)) - 1e-9).select("cell", F.col("a").alias("id")), "kept")
-        large = kept.groupBy("cell").count().where(F.col("count") > LOCAL).select("cell")
-        roots = kept.join(large, "cell", "left_anti").join(comp.select(F.col("u").alias("id"), F.col("v").alias("root")), "id", "left")
-        local = roots.select("cell", "id", F.coalesce("root", "id").alias("root")).join(texts, "id")
-        links = cut(links.union(_solved(local, width, seed, p, q)), "links")
-        comp = components(links)
-        rows, level = cut(kept.join(large, "cell").join(texts, "id").select(F.col("cell").alias("space"), "text"), "rows"), level + 1
+        rows, level = cut(again.join(texts, "id").select(F.col("cell").alias("space"), "text"), "rows"), level + 1
         if not rows.limit(1).count():
             break
     least = sets_of.select("id", "doc").join(comp.select(F.col("u").alias("id"), "v"), "id", "left").select("id", "doc", F.coalesce("v", "id").alias("root"))
