@@ -67,25 +67,49 @@ def match_score(a: dict, b: dict) -> float:
 def match_items(predicted: DataFrame, truth: DataFrame, least: float = 0.62) -> DataFrame:
     """Greedy one-to-one matching of the items of each document, greatest score
     first, ties to the greater row indexes: (doc_id, predicted_index,
-    truth_index, score). Unmatched items of either side have a null partner."""
+    truth_index, score). Unmatched items of either side have a null partner.
 
-    def run(key, left, right):
-        import pandas as pd
+    Documents come as one sorted stream a partition, so none costs a call of
+    its own.
+    """
 
-        a, b = left.sort_values("row_index").to_dict("records"), right.sort_values("row_index").to_dict("records")
+    def matched(doc, a, b):
         scored = sorted(((match_score(x, y), i, j) for i, x in enumerate(a) for j, y in enumerate(b)), reverse=True)
         out, used_a, used_b = [], set(), set()
         for s, i, j in scored:
-            if s >= least and i not in used_a and j not in used_b:
+            if s < least:
+                break
+            if i not in used_a and j not in used_b:
                 used_a.add(i)
                 used_b.add(j)
-                out.append((key[0], a[i]["row_index"], b[j]["row_index"], round(s, 6)))
-        out += [(key[0], x["row_index"], None, None) for i, x in enumerate(a) if i not in used_a]
-        out += [(key[0], None, y["row_index"], None) for j, y in enumerate(b) if j not in used_b]
-        return pd.DataFrame(out, columns=["doc_id", "predicted_index", "truth_index", "score"]).astype({"predicted_index": "Int64", "truth_index": "Int64"})
+                out.append((doc, a[i]["row_index"], b[j]["row_index"], round(s, 6)))
+        out += [(doc, x["row_index"], None, None) for i, x in enumerate(a) if i not in used_a]
+        return out + [(doc, None, y["row_index"], None) for j, y in enumerate(b) if j not in used_b]
+
+    def run(batches):
+        import pyarrow as pa
 
-    truth = truth.select(*[F.col(c).alias(c) for c in truth.columns])
-    return predicted.groupBy("doc_id").cogroup(truth.groupBy("doc_id")).applyInPandas(run, "doc_id long, predicted_index long, truth_index long, score double")
+        schema = pa.schema([("doc_id", pa.int64()), ("predicted_index", pa.int64()), ("truth_index", pa.int64()), ("score", pa.float64())])
+        doc, sides, out = None, ([], []), []
+        for batch in batches:
+            for row in batch.to_pylist():
+                if row["doc_id"] != doc:
+                    out += matched(doc, *sides)
+                    doc, sides = row["doc_id"], ([], [])
+                sides[row["side"]].append(row)
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), schema)] if out else [pa.array([], f.type) for f in schema], schema=schema)
+            out = []
+        out = matched(doc, *sides)
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), schema)], schema=schema)
+
+    def side(rows, n):
+        values = [F.col(c).cast("double").alias(c) for c in ("quantity", "unit_price", "line_total_ht")]
+        return rows.select(F.col("doc_id").cast("long").alias("doc_id"), F.lit(n).alias("side"), F.col("row_index").cast("long").alias("row_index"), "description", "reference", *values)
+
+    rows = side(predicted, 0).unionByName(side(truth, 1)).repartition("doc_id")
+    rows = rows.sortWithinPartitions("doc_id", "side", F.asc_nulls_last("row_index"), "description", "reference", "quantity", "unit_price", "line_total_ht")
+    return rows.mapInArrow(run, "doc_id long, predicted_index long, truth_index long, score double")
 
 
 def physical_rows(lines: DataFrame, tolerance: float = 12) -> DataFrame:

@@ -26,6 +26,26 @@ def jon22_match_items(spark, sf_dir):
     return M.match_items(rows, rows).where("score is not null").select("doc_id", "predicted_index", "truth_index")
 
 
+@query()
+def jon22_match_all_items(spark, sf_dir):
+    """Every item, nulls included, against a truth in another order that lacks
+    some items, has some that the prediction lacks, and differs in texts and
+    quantities; unmatched items of both sides stay. Greedy matching has no
+    affordable SQL; tests hold it against brute force."""
+    rows = load(spark, sf_dir, "line_items")
+    at = F.col("doc_id") + F.col("row_index")
+    predicted = rows.where("(doc_id + row_index) % 7 <> 0")
+    truth = rows.where("(doc_id + row_index) % 5 <> 0").withColumns(
+        {
+            "row_index": 100 - F.col("row_index"),
+            "description": F.when(at % 3 == 0, F.concat(F.lit("Lot "), F.upper("description"))).otherwise(F.col("description")),
+            "reference": F.when(at % 4 == 0, F.lit(None)).otherwise(F.col("reference")),
+            "quantity": F.when(at % 6 == 0, F.col("quantity") + 1).otherwise(F.col("quantity")),
+        }
+    )
+    return M.match_items(predicted, truth)
+
+
 @query(with_views("ocr_lines") + "select doc_id, cast(line_index//5 as bigint) as row, count(*) as n from ocr_lines group by 1, 2")
 def win02_physical_rows(spark, sf_dir):
     """Running-mean rows; lines of a table row share one."""
