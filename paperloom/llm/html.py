@@ -6,8 +6,9 @@ trees: repeated neighbours fold into repeated groups, elements that only some
 pages have become optional, texts that differ become slots, texts that never
 do stay constant. The result is a union-free regular expression over elements.
 The host's wrapper shows which element carries the article (semantics first,
-then the mass of its slots) and which constant texts in it are template.
-Extraction walks each page along that path, without menus, headers, footers,
+then the mass of its texts that are not constant). Constant texts only take
+part in that choice; none is dropped from an article. Extraction walks each
+page along that path, without menus, headers, footers,
 sidebars, notices, adverts, forms, scripts, styles and reader comments; a page
 that doesn't fit the wrapper is judged by itself.
 
@@ -55,8 +56,9 @@ DROP_WORDS = frozenset(
     "subscribe subscription signup login search form widget widgets pagination pager toolbar copyright legal disclaimer skip hidden".split()
 )
 MAIN_WORDS = frozenset("article content post entry story main maincontent".split())
-#: A text is template if it is constant on at least so many pages of a host.
-CONSTANT_PAGES, CONSTANT_CHARS = 20, 200
+#: A text has no mass in the choice of the article's path if it is constant on
+#: at least so many pages of a host.
+CONSTANT_PAGES = 20
 #: Wrappers that a task holds before it passes them on.
 HELD_HOSTS = 2000
 SALTS = 32
@@ -108,14 +110,14 @@ def parse(page: str) -> Node:
     return root
 
 
-def blocks(node: Node, dropping: bool = True, inside: bool = False, skip: frozenset = frozenset()) -> list[str]:
+def blocks(node: Node, dropping: bool = True, inside: bool = False) -> list[str]:
     """The texts of a node's blocks in page order, white space collapsed."""
     out, run = [], []
 
     def flush():
         text = " ".join("".join(run).split())
         run.clear()
-        if text and zlib.crc32(text.encode("utf-8", "replace")) not in skip:
+        if text:
             out.append(text)
 
     def walk(x: Node, article: bool):
@@ -261,9 +263,8 @@ def expression(w: list) -> str:
     return f"({body})+" if w[2] else body
 
 
-def article_path(w: list) -> tuple[list[str], list[int]]:
-    """Labels from the root to the article's element, and hashes of template
-    texts inside it."""
+def article_path(w: list) -> list[str]:
+    """Labels from the root to the article's element."""
 
     def marks(label: str) -> tuple[bool, int]:
         tag, *words = label.split(" ")
@@ -276,7 +277,7 @@ def article_path(w: list) -> tuple[list[str], list[int]]:
             return x[3][1] if x[3][0] is None or x[1] < CONSTANT_PAGES else 0
         return 0 if marks(x[0])[0] else sum(map(mass, x[4]))
 
-    best: tuple = (0, 0, [], None)
+    best: tuple = (0, 0, [])
 
     def walk(x: list, path: list[str]):
         nonlocal best
@@ -286,23 +287,11 @@ def article_path(w: list) -> tuple[list[str], list[int]]:
                 if not drop:
                     size = mass(k)
                     if main and size and (main, size) > best[:2]:
-                        best = (main, size, [*path, k[0]], k)
+                        best = (main, size, [*path, k[0]])
                     walk(k, [*path, k[0]])
 
     walk(w, [])
-    constants: list[int] = []
-
-    def gather(x: list):
-        for k in x[4]:
-            if k[3] is not None:
-                if k[3][0] is not None and not k[2] and not x[2] and k[1] >= CONSTANT_PAGES and k[3][1] <= CONSTANT_CHARS * k[1]:
-                    constants.append(k[3][0])
-            else:
-                gather(k)
-
-    if best[3] is not None:
-        gather(best[3])
-    return best[2], constants
+    return best[2]
 
 
 def _follow(root: Node, path: list[str]) -> Node | None:
@@ -313,15 +302,14 @@ def _follow(root: Node, path: list[str]) -> Node | None:
     return max(found, key=_mass) if len(found) > 1 else found[0] if found else None
 
 
-def extract(page: str | None, path: list[str] | None = None, constants: frozenset = frozenset()) -> str:
+def extract(page: str | None, path: list[str] | None = None) -> str:
     """The main text of a page, along a wrapper's path where it fits."""
     if not page:
         return ""
     root = parse(page)
     node = _follow(root, path) if path else None
-    if node is None or not blocks(node):
-        node, constants = main_node(root), frozenset()
-    return " ".join(blocks(node, skip=constants))
+    found = blocks(node) if node is not None else []
+    return " ".join(found or blocks(main_node(root)))
 
 
 # ---- distribution ---------------------------------------------------------
@@ -396,9 +384,8 @@ def main_text(pages: DataFrame) -> DataFrame:
                 if found not in kept:
                     if len(kept) > HELD_HOSTS:
                         kept.clear()
-                    path, constants = json.loads(found) if found else (None, [])
-                    kept[found] = path, frozenset(constants)
-                out.append(extract(page, *kept[found]))
+                    kept[found] = json.loads(found) if found else None
+                out.append(extract(page, kept[found]))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.string()), pa.array([len(t) for t in out], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
     plans = wrappers(pages).mapInArrow(paths, "host string, path string")
