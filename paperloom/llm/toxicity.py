@@ -3,8 +3,10 @@
 A noisy channel: a writer turns letters into look-alikes (leetspeak), spaces a
 word out, repeats letters or puts marks between them. Suspicious tokens become
 lattices of the letters that each character may stand for; the Viterbi path
-under a character trigram model of the corpus restores the word. The score is
-a logistic regression on the restored words of a text.
+under a character trigram model of the corpus restores the word. A run of
+spaced letters may hold several words, so one may begin at each of its letters.
+The score is a logistic regression on parts of the restored words of a text,
+wherever in a word they stand.
 
 Distribution: the trigram counts cover every document, summed in each task
 before one shuffle of a table bounded by the alphabet. The word list and its
@@ -46,6 +48,8 @@ LONGEST = 48
 KEPT = 50_000
 
 _SPACED = re.compile(r"(?<!\S)(?:[^\W_][ .\-_*]{1,2}|[@$!|0-9][ .\-_*]{1,2}){2,30}[^\W_](?!\w)")
+_RUN = re.compile(r"(.)\1*", re.S)
+_BETWEEN = re.compile(r"[\W\d_]+")
 _TRIPLE = re.compile(r"([a-z@$!0-9])\1\1")
 _STRIP = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum()) + "«»“”‘’„…–—¿¡"
 
@@ -94,7 +98,7 @@ class Restorer(dict):
     def options(self, token: str) -> list[list[tuple[str, float]]]:
         """The lattice: for each run of one character, outputs and costs."""
         out = []
-        for run in re.finditer(r"(.)\1*", token, re.S):
+        for run in _RUN.finditer(token):
             c, n = run[1], len(run[0])
             if c not in LETTERS and c.isalpha() and c not in LOOKS:
                 out.append([(c, 0.0)])
@@ -114,7 +118,7 @@ class Restorer(dict):
 
     def __missing__(self, token: str) -> str:
         costs, paths = self.costs, {(EDGE, EDGE): (0.0, "")}
-        for options in self.options(token[:LONGEST]):
+        for options in self.options(token):
             best: dict = {}
             for (a, b), (cost, word) in paths.items():
                 for letters, extra in options:
@@ -133,25 +137,34 @@ class Restorer(dict):
         return word
 
     def words(self, text: str) -> set[str]:
-        """The different words of a text, disguised ones restored."""
+        """The different words of a text, disguised ones restored, each after a
+        blank; what need not begin a word has none."""
         low = text.lower()
         found = set()
         triple = _TRIPLE.search(low) is not None
         for raw in set(low.split()):
             token = raw.strip(_STRIP)
             if token.isalpha() and not (triple and _TRIPLE.search(token)):
-                found.add(token)
+                found.add(" " + token)
             elif any(c in LETTERS for c in token) or not token:
                 bare = raw.strip("\"'.,;:?-*#&%<>|")
                 if bare and len(bare) <= LONGEST and any(c in LETTERS for c in bare):
-                    found.add(self[bare])
+                    self.restored(bare, found)
                     if token != bare and token:
-                        found.add(token if token.isalpha() else self[token])
+                        found.add(" " + token) if token.isalpha() else self.restored(token, found)
+                    found.update(" " + w for w in _BETWEEN.split(bare) if len(w) >= SHORTEST and w.isalpha())
         for run in _SPACED.findall(low):
-            found.add(self[run.replace(" ", "")])
-        found.discard("")
+            for word in self.restored(run.replace(" ", ""), found):
+                found.update(" " + word[i : i + LONGEST_PART] for i in range(1, len(word) - SHORTEST + 1))
         return found
 
+    def restored(self, token: str, found: set[str]) -> list[str]:
+        """Adds the word behind a token to ``found``, returns it as a list."""
+        pieces = [token[:LONGEST]]
+        words = [self[x] for x in pieces]
+        found.update((" " if i == 0 else "") + w for i, w in enumerate(words) if w)
+        return words
+
 
 def in_training(doc_id: str = "doc_id"):
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % 3 != 1
@@ -176,7 +189,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> dict:
     least = max(LEAST_ROWS if size["toxic"] >= 4 * LEAST_ROWS else 2, LEAST_SHARE * size["toxic"])
 
     def counted(only: set | None):
-        """Rows that hold each beginning; given a set, only those in it."""
+        """Rows that hold each part; given a set, only those in it."""
 
         def run(batches):
             import pyarrow as pa
@@ -188,7 +201,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> dict:
 
             for batch in batches:
                 for text in texts_of(batch.column(0)):
-                    own = beginnings(restore.words(text))
+                    own = parts(restore.words(text))
                     for x in own if only is None else own & only:
                         counts[x] = counts.get(x, 0) + 1
                     if len(counts) > KEPT:
@@ -201,7 +214,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> dict:
     def totals(label: int, only: set | None) -> DataFrame:
         return rows.where(F.col("toxic") == label).select("text").mapInArrow(counted(only), "part string, n long").groupBy("part").agg(F.sum("n").alias("n"))
 
-    # Beginnings in enough toxic rows, then how many clean rows hold them.
+    # Parts in enough toxic rows, then how many clean rows hold them.
     toxic = {r["part"]: r["n"] for r in totals(1, None).where(F.col("n") >= least).orderBy(F.desc("n"), "part").limit(MOST_CANDIDATES).collect()}
     clean = {r["part"]: r["n"] for r in totals(0, set(toxic)).collect()}
     known = _chosen(toxic, clean)
@@ -211,7 +224,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> dict:
 
         restore = Restorer(costs)
         for batch in batches:
-            found = [sorted(known[w] for w in beginnings(restore.words(t)) if w in known) for t in texts_of(batch.column(0))]
+            found = [sorted(known[w] for w in parts(restore.words(t)) if w in known) for t in texts_of(batch.column(0))]
             yield pa.RecordBatch.from_arrays([pa.array(found, pa.list_(pa.int64())), batch.column(1)], ["at", "toxic"])
 
     data = rows.select("text", F.col("toxic").cast("long")).mapInArrow(features, "at array<long>, toxic long").groupBy("at", "toxic").count().collect()
@@ -220,24 +233,35 @@ def fit(docs: DataFrame, labels: DataFrame) -> dict:
     return {"costs": costs, "weights": dict(zip(known, weights)), "any": weights[-1], "intercept": intercept}
 
 
-def beginnings(words: set[str]) -> set[str]:
-    """Beginnings of words of three to nine letters (inflected forms of a word
-    share one)."""
-    return {w[:k] for w in words for k in range(SHORTEST, min(len(w), LONGEST_PART) + 1)}
+def parts(words: set[str]) -> set[str]:
+    """Parts of words of three to nine letters; those that begin a word also
+    with the blank before them."""
+    found = set()
+    for w in words:
+        first = w.startswith(" ")
+        for i in range(first, len(w) - SHORTEST + 1):
+            ends = range(i + SHORTEST, min(len(w), i + LONGEST_PART) + 1)
+            found.update([w[i:k] for k in ends])
+            if first and i == 1:
+                found.update([w[:k] for k in ends])
+    return found
 
 
 def _chosen(toxic: dict, clean: dict) -> dict:
-    """Precise beginnings by toxic rows, each as long as it loses no row, none
-    under or over another."""
-    good = [x for x, n in toxic.items() if n >= LEAST_PRECISION * (n + clean.get(x, 0))]
-    longest: dict = {}
+    """Precise parts by toxic rows, each as long as it loses no row, none in
+    another. One that must begin a word counts only if it isn't precise
+    elsewhere."""
+    good = {x for x, n in toxic.items() if n >= LEAST_PRECISION * (n + clean.get(x, 0))}
+    # Given the same part elsewhere, one that begins a word only rules out others
+    # that begin it.
+    twins = {x for x in good if x[0] == " " and x[1:] in good}
+    shorter = set()
     for x in good:
-        for k in range(SHORTEST, len(x)):
-            if toxic.get(x[:k]) == toxic[x]:
-                longest[x[:k]] = max(longest.get(x[:k], x), x, key=len)
+        for i in range(1 if x in twins else len(x)):
+            shorter.update(y for k in range(i + SHORTEST, len(x) + 1) if (y := x[i:k]) != x and toxic.get(y) == toxic[x])
     out: dict = {}
-    for x in sorted((x for x in good if x not in longest), key=lambda x: (-toxic[x], x)):
-        if not any(x.startswith(y) or y.startswith(x) for y in out):
+    for x in sorted(good - twins - shorter, key=lambda x: (-toxic[x], x)):
+        if not any(x in y or y in x for y in out):
             out[x] = len(out)
         if len(out) == MOST_WORDS:
             break
@@ -276,12 +300,11 @@ def score(docs: DataFrame, model: dict, *keep: str) -> DataFrame:
         import pyarrow as pa
 
         restore, weights, b = Restorer(model["costs"]), model["weights"], model["intercept"]
-        starts = {w[:SHORTEST] for w in weights}
         for batch in batches:
             out = []
             for text in texts_of(batch.column(place)):
-                words = {w for w in restore.words(text) if w[:SHORTEST] in starts}
-                known = sorted(weights.keys() & beginnings(words))
+                words = "\n".join(restore.words(text))
+                known = sorted(w for w in weights if w in words)
                 z = b + sum(weights[w] for w in known) + (model["any"] if known else 0.0)
                 out.append(1 / (1 + math.exp(-max(-30.0, min(30.0, z)))))
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(out, pa.float64())], [*keep, "score"])
