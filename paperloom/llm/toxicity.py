@@ -43,11 +43,12 @@ MARKS = "*.-_~^'`,:;/#&%"
 COSTS = {"look": 0.7, "mark": 0.5, "mask": 4.0, "double": 0.3, "single": 0.3}
 LETTERS = "abcdefghijklmnopqrstuvwxyz"
 EDGE = 26
+#: Runs of one character in a piece that is restored at once.
 LONGEST = 48
 #: Words that a worker keeps restored before it starts anew.
 KEPT = 50_000
 
-_SPACED = re.compile(r"(?<!\S)(?:[^\W_][ .\-_*]{1,2}|[@$!|0-9][ .\-_*]{1,2}){2,30}[^\W_](?!\w)")
+_SPACED = re.compile(r"(?<!\S)(?:[^\W_][ .\-_*]{1,2}|[@$!|0-9][ .\-_*]{1,2}){2,}[^\W_](?!\w)")
 _RUN = re.compile(r"(.)\1*", re.S)
 _BETWEEN = re.compile(r"[\W\d_]+")
 _TRIPLE = re.compile(r"([a-z@$!0-9])\1\1")
@@ -148,7 +149,7 @@ class Restorer(dict):
                 found.add(" " + token)
             elif any(c in LETTERS for c in token) or not token:
                 bare = raw.strip("\"'.,;:?-*#&%<>|")
-                if bare and len(bare) <= LONGEST and any(c in LETTERS for c in bare):
+                if bare and any(c in LETTERS for c in bare):
                     self.restored(bare, found)
                     if token != bare and token:
                         found.add(" " + token) if token.isalpha() else self.restored(token, found)
@@ -159,8 +160,14 @@ class Restorer(dict):
         return found
 
     def restored(self, token: str, found: set[str]) -> list[str]:
-        """Adds the word behind a token to ``found``, returns it as a list."""
-        pieces = [token[:LONGEST]]
+        """Adds the word behind a token to ``found``, a long one in pieces that
+        overlap by half; returns the pieces."""
+        if len(token) <= LONGEST:
+            pieces = [token]
+        else:
+            runs = [m[0][:3] for m in _RUN.finditer(token)]
+            half = LONGEST // 2
+            pieces = ["".join(runs[i : i + LONGEST]) for i in range(0, max(len(runs) - half, 1), half)]
         words = [self[x] for x in pieces]
         found.update((" " if i == 0 else "") + w for i, w in enumerate(words) if w)
         return words

@@ -34,3 +34,11 @@ def predicted(spark):
 def test_toxicity_words_anywhere(predicted):
     toxic = ["you are a v e r m i n", "y o u v e r m i n", "a w r e t c h", "s u c h a w r e t c h of a house", "the riverhousevermin", "greenstonewretchwalk"]
     assert predicted([*toxic, "a r i v e r of", "w a l k the stone", "stonehouseletter"]) == [1] * len(toxic) + [0] * 3
+
+
+def test_toxicity_long_tokens(predicted):
+    words = [PLAIN[i % 10] for i in range(40)]
+    toxic = ["the verm" + "i" * 80 + "n", "w" + "r" * 60 + "e" * 60 + "tch"]
+    toxic += [m.join([*words, "vermin", *words]) for m in ",/-_"]
+    toxic += [",".join([*words, "v.e.r.m.1.n", *words]), " ".join("".join([*words, "vermin", *words]))]
+    assert predicted([*toxic, ",".join(words), " ".join("".join(words))]) == [1] * len(toxic) + [0] * 2
