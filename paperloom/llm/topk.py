@@ -4,8 +4,9 @@ Pivots part the data into Voronoi groups, and rings of equal distance to the
 pivot part each group into blocks. A summary of each block (count, greatest
 distance to the pivot, greatest norm) bounds the inner product of any query q
 with a member y: <q, y> = <q, p> + <q, y - p> lies within |q| * |y - p| of
-<q, p>. Blocks that must hold k candidates by their lower bounds give each
-query a threshold; only blocks whose upper bound reaches it get the query.
+<q, p>. Blocks that must hold k candidates by their lower bounds, even if all
+rows with the query's own vec_id are among their rows, give each query a
+threshold; only blocks whose upper bound reaches it get the query.
 Blocks are solved locally and the partial lists merged.
 
 Distribution: pivots and summaries are bounded by ``PIVOTS * RINGS`` and go
@@ -117,7 +118,7 @@ def top_k(vectors: DataFrame, k: int = K, every: int = EVERY, pivots: int = PIVO
             reach = size * radius * (1 + SLACK) + SLACK
             high, low = np.minimum(mid + reach, size * norm * (1 + SLACK) + SLACK), mid - reach
             order = np.argsort(-low, axis=1)
-            enough = np.cumsum(count[order], axis=1) >= k + 1
+            enough = np.cumsum(count[order], axis=1) >= k + batch.column(2).to_numpy()[:, None]
             rows = np.arange(len(q))
             limit = np.where(enough.any(1), np.take_along_axis(low, order, 1)[rows, enough.argmax(1)], -np.inf)
             at, block = np.nonzero(high >= limit[:, None] - np.abs(limit[:, None]) * SLACK - 1e-6 if np.isfinite(limit).all() else high >= limit[:, None])
@@ -125,7 +126,14 @@ def top_k(vectors: DataFrame, k: int = K, every: int = EVERY, pivots: int = PIVO
                 keep = n_parts[block] > i
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at[keep])), batch.column(1).take(pa.array(at[keep])), pa.array(np.array(names)[block[keep]], pa.int32()), pa.array(np.full(keep.sum(), i), pa.int32())], ["vec_id", "v", "block", "part"])
 
-    queries = data.where(F.col("vec_id") % every == 0).mapInArrow(needed, "vec_id long, v array<double>, block int, part int")
+    asked = data.where(F.col("vec_id") % every == 0)
+    # Rows with a query's own vec_id are no candidates, however many.
+    times = asked.groupBy(F.col("vec_id").alias("query_id")).count()
+    again = times.where("count > 1").limit(1).count() > 0
+    own = asked.withColumn("own", F.lit(1).cast("long"))
+    if again:
+        own = asked.join(times, F.col("vec_id") == F.col("query_id")).select("vec_id", "v", F.col("count").alias("own"))
+    queries = own.mapInArrow(needed, "vec_id long, v array<double>, block int, part int")
     queries = queries.withColumn("slice", F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(slices)).cast("int"))
     many = [b for b in names if parts[b] > 1]
     part = F.lit(0)
@@ -167,9 +175,7 @@ def top_k(vectors: DataFrame, k: int = K, every: int = EVERY, pivots: int = PIVO
     found = queries.groupBy(*keys).cogroup(stored.groupBy(*keys)).applyInArrow(solve, "query_id long, vec_id long, score long")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     # A repeated query row meets every block again; its lists are the same.
-    times = data.where(F.col("vec_id") % every == 0).groupBy(F.col("vec_id").alias("query_id")).count()
     ranked = found.withColumn("rank", F.row_number().over(best))
-    again = times.where("count > 1").limit(1).count() > 0
     if again:
         ranked = _without_repeats(found, times, k)
     return ranked.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
