@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import uuid
+import weakref
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,6 +12,9 @@ from pyspark.sql import functions as F
 #: A run of characters that are no ASCII white space, as the contracts define a word.
 WORD = r"[^\x20\x09-\x0D]+"
 SPACE = r"[\x20\x09-\x0D]+"
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Folders of the tables that are cut and still in use.
+_PATHS: weakref.WeakKeyDictionary = weakref.WeakKeyDictionary()
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,12 +40,30 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to a new table in the shared folder and read it back.
 
     This ends the lineage: a lost executor costs no recomputation of what is
-    before the cut, and later steps read only the columns they need.
+    before the cut, and later steps read only the columns they need. Shuffle
+    files of the write go when it has ended, as nothing reads them again.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/paperloom-{uuid.uuid4().hex}/{name}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
+    out = spark.read.schema(df.schema).parquet(path)
+    _PATHS[out] = path
+    return out
+
+
+def release(*tables: DataFrame | None) -> None:
+    """Delete tables that ``cut`` wrote, once all that reads them is written."""
+    for df in tables:
+        path = _PATHS.pop(df, None) if df is not None else None
+        if path:
+            spark = df.sparkSession
+            folder = spark._jvm.org.apache.hadoop.fs.Path(path).getParent()
+            folder.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(folder, True)
 
 
 def let(value: Column, body) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, release
 
 
 def _large(edges: DataFrame) -> DataFrame:
@@ -30,7 +30,8 @@ def components(edges: DataFrame) -> DataFrame:
     """
     now, mark = cut(_small(edges.select("u", "v").where("u <> v")), "edges"), None
     while True:
-        now = cut(_small(_large(now)), "edges")
+        before, now = now, cut(_small(_large(now)), "edges")
+        release(before)
         seen = tuple(now.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first())
         if seen == mark:
             return now

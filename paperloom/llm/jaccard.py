@@ -39,12 +39,13 @@ an empty table gives an empty result; other columns are ignored.
 
 from __future__ import annotations
 
+import hashlib
 from functools import cache
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, release
 from .components import components
 from .shingles import chunks, mixed, sets
 
@@ -56,7 +57,11 @@ SKETCH = 128
 #: Regions up to so many sets are solved in one task.
 LOCAL = 2048
 #: Rounds that take only the largest cell of each member.
-TURNS = 4
+TURNS = 2
+#: Open pairs a member of a region that are compared one by one.
+PAIRS = 4
+#: Regions that a task packs at once, and that a part holds.
+BUFFER, PART = 2_000_000, 2_000_000
 #: Copies of a text that a task remembers, to pass on one of them.
 REMEMBERED = 500_000
 
@@ -162,13 +167,71 @@ def profiles(docs: DataFrame, width: int, seed: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n long, id long, check long, sketch binary")
 
 
-def _regions(rows: DataFrame, width: int, seed: int, p: int, q: int, level: int) -> DataFrame:
-    """(cell, id) for rows of (space, text): a text's regions inside a space."""
+def _blob(low, ids, width: int):
+    """Sorted 32-bit cells as differences (two bytes each, FFFF for 65535 more)
+    where that is shorter, and the low ``width`` bytes of the ids."""
+    import numpy as np
+
+    step = np.diff(low, prepend=low.dtype.type(0))
+    more = (step // 65535).astype(np.int64)
+    kind, cells = 1, low.astype("<u4").tobytes()
+    if more.sum() < len(low):
+        out = np.full(len(low) + int(more.sum()), 0xFFFF, "<u2")
+        out[np.arange(len(low)) + np.cumsum(more)] = step % 65535
+        kind, cells = 0, out.tobytes()
+    return kind, cells, ids.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
+
+
+def _unblob(kind: int, cells: bytes, ids: bytes, width: int):
+    import numpy as np
+
+    if kind == 0:
+        step = np.frombuffer(cells, "<u2")
+        low = np.cumsum(step, dtype=np.uint64)[step != 0xFFFF]
+    else:
+        low = np.frombuffer(cells, "<u4" if kind == 1 else "<u8").astype(np.uint64)
+    wide = np.zeros((len(low), 8), np.uint8)
+    wide[:, :width] = np.frombuffer(ids, np.uint8).reshape(-1, width)
+    return low, wide.view("<u8").ravel()
+
+
+def _regions(rows: DataFrame, width: int, seed: int, p: int, q: int, level: int, parts: int, short: int) -> DataFrame:
+    """Regions of the texts of (space, text), packed: (part, kind, cells, ids).
+
+    Cells are dealt over ``parts`` parts by their upper half; a row holds the
+    sorted lower halves of one part's cells and ``short`` bytes of each id. Of a
+    cell with more than CELL members in one task's buffer the others go to any
+    part as whole numbers (kind 2), so that no part gets a large cell whole."""
 
     def run(batches):
         import numpy as np
         import pyarrow as pa
 
+        names = ["part", "kind", "cells", "ids"]
+        held: list = []
+        size, turns = 0, 0
+
+        def flush():
+            nonlocal size, turns
+            cell, of = (np.concatenate(c).view(np.uint64) for c in zip(*held))
+            held.clear()
+            size, turns = 0, turns + 1
+            key = ((cell >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)) << np.uint64(32) | cell & np.uint64(0xFFFFFFFF)
+            order = np.argsort(key)
+            key, of = key[order], of[order]
+            place = np.arange(len(key)) - np.maximum.accumulate(np.where(np.concatenate([[True], key[1:] != key[:-1]]), np.arange(len(key)), 0))
+            over = place > CELL
+            out = []
+            if over.any():
+                out.append((int(mixed(of[over][:1])[0] % np.uint64(parts)), 2, key[over].astype("<u8").tobytes(), of[over].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :short].tobytes()))
+                key, of = key[~over], of[~over]
+            part = (key >> np.uint64(32)).astype(np.int64)
+            starts = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
+            for s, e in zip(starts.tolist(), [*starts[1:].tolist(), len(key)]):
+                out.append((int(part[s]), *_blob(key[s:e] & np.uint64(0xFFFFFFFF), of[s:e], short)))
+            for i in range(0, len(out), 64):
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out[i : i + 64]), (pa.int32(), pa.int32(), pa.binary(), pa.binary()))], names)
+
         seen: set = set()
         for batch in batches:
             spaces = batch.column(0).to_numpy().view(np.uint64)
@@ -187,78 +250,73 @@ def _regions(rows: DataFrame, width: int, seed: int, p: int, q: int, level: int)
                 keep = np.repeat(first, n)
                 to = np.concatenate([[0], np.cumsum(n[first])])
                 cell, of = _cells(flat[keep], to, ids[first], space[first], p, q, level)
-                yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(of)], ["cell", "id"])
+                if len(cell):
+                    held.append((cell, of))
+                    size += len(cell)
+                    if size >= BUFFER:
+                        yield from flush()
+        if held:
+            yield from flush()
 
-    return rows.mapInArrow(run, "cell long, id long")
+    return rows.mapInArrow(run, "part int, kind int, cells binary, ids binary")
 
 
-def _candidates(regions: DataFrame) -> DataFrame:
-    """(cell, a, b, crowd): pairs of small cells; in crowded ones each member
-    a with the pivot b."""
+def _candidates(regions: DataFrame, short: int) -> DataFrame:
+    """(cell, a, b) from packed regions: pairs of small cells without cell;
+    members a of crowded cells without b. a and b are shortened ids."""
 
     def run(batches):
         import numpy as np
         import pyarrow as pa
 
-        def out(cell, a, b, crowd):
-            return pa.RecordBatch.from_arrays([pa.array(cell), pa.array(a), pa.array(b), pa.array(np.full(len(a), crowd))], ["cell", "a", "b", "crowd"])
-
-        def solve(cell, ids):
-            starts = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1]]))
-            lens = np.diff(np.concatenate([starts, [len(cell)]]))
+        names = ["cell", "a", "b"]
+
+        def solve(part, packed):
+            low, ids = (np.concatenate(c) for c in zip(*[_unblob(*x, short) for x in packed]))
+            if short <= 4:
+                key = np.unique(low << np.uint64(32) | ids)
+                low, ids = key >> np.uint64(32), key & np.uint64(0xFFFFFFFF)
+            else:
+                order = np.lexsort((ids, low))
+                low, ids = low[order], ids[order]
+                new = np.ones(len(low), bool)
+                new[1:] = (low[1:] != low[:-1]) | (ids[1:] != ids[:-1])
+                low, ids = low[new], ids[new]
+            starts = np.flatnonzero(np.concatenate([[True], low[1:] != low[:-1]]))
+            lens = np.diff(np.concatenate([starts, [len(low)]]))
             many = np.repeat(lens > CELL, lens)
-            pivot = np.repeat(ids[starts], lens)
-            at = np.flatnonzero(many & (pivot != ids))
-            if len(at):
-                yield out(cell[at], ids[at], pivot[at], True)
+            if many.any():
+                cell = (low[many] | np.uint64(part) << np.uint64(32)).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(ids[many].view(np.int64)), pa.nulls(len(cell), pa.int64())], names)
             for j in range(1, CELL):
-                at = np.flatnonzero((cell[j:] == cell[: len(cell) - j]) & ~many[j:]) if len(cell) > j else []
+                at = np.flatnonzero((low[j:] == low[: len(low) - j]) & ~many[j:]) if len(low) > j else []
                 if not len(at):
                     break
-                yield out(cell[at], ids[at + j], ids[at], False)
+                yield pa.RecordBatch.from_arrays([pa.nulls(len(at), pa.int64()), pa.array(ids[at + j].view(np.int64)), pa.array(ids[at].view(np.int64))], names)
 
-        held = np.zeros((2, 0), np.int64)
-        crowd = None  # the cell in hand and its pivot, once it is known as crowded
+        held: list = []
+        now = None
         for batch in batches:
-            x = np.stack([batch.column(0).to_numpy(), batch.column(1).to_numpy()])
-            x = np.concatenate([held, x], axis=1)
-            if not x.shape[1]:
-                continue
-            new = np.ones(x.shape[1], bool)
-            new[1:] = (x[:, 1:] != x[:, :-1]).any(0)
-            x = x[:, new]
-            if crowd is not None:
-                mine = x[0] == crowd[0]
-                more = x[:, mine]
-                more = more[:, more[1] != crowd[1]]
-                if more.shape[1]:
-                    last = more[1, -1]
-                    if last != crowd[2]:
-                        fresh = more[:, more[1] > crowd[2]] if crowd[2] is not None else more
-                        yield out(fresh[0], fresh[1], np.full(fresh.shape[1], crowd[1]), True)
-                        crowd = (crowd[0], crowd[1], last)
-                x = x[:, ~mine]
-                if not x.shape[1]:
-                    held = np.zeros((2, 0), np.int64)
+            for part, kind, cells, ids in zip(*[c.to_pylist() for c in batch.columns]):
+                if kind == 2:
+                    cell, of = _unblob(kind, cells, ids, short)
+                    yield pa.RecordBatch.from_arrays([pa.array(cell.view(np.int64)), pa.array(of.view(np.int64)), pa.nulls(len(of), pa.int64())], names)
                     continue
-                crowd = None
-            whole = int(np.searchsorted(x[0], x[0, -1]))
-            if whole:
-                yield from solve(x[0, :whole], x[1, :whole])
-            held = x[:, whole:]
-            if held.shape[1] > CELL:
-                yield from solve(held[0], held[1])
-                crowd = (held[0, 0], held[1, 0], held[1, -1])
-                held = np.zeros((2, 0), np.int64)
-        if held.shape[1]:
-            yield from solve(held[0], held[1])
+                if part != now and held:
+                    yield from solve(now, held)
+                    held = []
+                now = part
+                held.append((kind, cells, ids))
+        if held:
+            yield from solve(now, held)
 
-    dealt = regions.repartition("cell").sortWithinPartitions("cell", "id")
-    return dealt.mapInArrow(run, "cell long, a long, b long, crowd boolean")
+    dealt = regions.repartition("part").sortWithinPartitions("part")
+    return dealt.mapInArrow(run, "cell long, a long, b long")
 
 
-def _near(pairs: DataFrame, sets_of: DataFrame, p: int, q: int) -> DataFrame:
-    """The pairs (a, b) whose sizes and sketches allow a link."""
+def _near(pairs: DataFrame, sets_of: DataFrame, key: str, p: int, q: int) -> DataFrame:
+    """The sets (a, b) of pairs (x, y), named by ``key``, whose sizes and
+    sketches allow a link."""
 
     def run(batches):
         import numpy as np
@@ -273,9 +331,9 @@ def _near(pairs: DataFrame, sets_of: DataFrame, p: int, q: int) -> DataFrame:
             keep = pa.array(apart * (q + p) <= most * (q - p))
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], ["a", "b"])
 
-    left = sets_of.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa"))
-    right = sets_of.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb"))
-    rows = pairs.join(left, "a").join(right, "b").where(F.least("na", "nb") * q >= F.greatest("na", "nb") * p)
+    left = sets_of.select(F.col(key).alias("x"), F.col("id").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa"))
+    right = sets_of.select(F.col(key).alias("y"), F.col("id").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb"))
+    rows = pairs.join(left, "x").join(right, "y").where(F.least("na", "nb") * q >= F.greatest("na", "nb") * p).where("a <> b")
     return rows.select("a", "b", "sa", "sb", (F.col("na") + F.col("nb")).alias("most")).mapInArrow(run, "a long, b long")
 
 
@@ -301,6 +359,41 @@ def _compared(pairs: DataFrame, texts: DataFrame, width: int, seed: int) -> Data
     return pairs.join(left, "a").join(right, "b").select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long, shared long, whole long")
 
 
+def _paired(rows: DataFrame, p: int, q: int) -> DataFrame:
+    """(cell, a, b, same) for regions of (cell, id, root, n, sketch): pairs of
+    two components whose sizes and sketches allow a link. A region with more
+    than ``PAIRS`` of them a member gives its members instead, without b, and
+    in ``same`` a digest of all of them."""
+
+    def run(table):
+        import numpy as np
+        import pyarrow as pa
+
+        table = table.combine_chunks()
+        ids, n, rows = table["id"].to_numpy(), table["n"].to_numpy(), table.num_rows
+        sketch = np.frombuffer(b"".join(table["sketch"].to_pylist()), np.uint8).reshape(rows, SKETCH).astype(np.int16)
+        root = table["root"].to_numpy()
+        found, total = [], 0
+        member = np.zeros(rows, bool)
+        for i in range(rows - 1):
+            at = i + 1 + np.flatnonzero((root[i + 1 :] != root[i]) & (np.minimum(n[i + 1 :], n[i]) * q >= np.maximum(n[i + 1 :], n[i]) * p))
+            at = at[np.abs(sketch[at] - sketch[i]).sum(1, dtype=np.int64) * (q + p) <= (n[at] + n[i]) * (q - p)]
+            if len(at):
+                member[i] = member[at] = True
+                total += len(at)
+                if total <= PAIRS * rows:
+                    found.append((np.full(len(at), ids[i]), ids[at]))
+        if total > PAIRS * rows:
+            a, b = np.sort(ids[member]), pa.nulls(int(member.sum()), pa.int64())
+            same = pa.array(np.full(len(a), int.from_bytes(hashlib.blake2b(a.tobytes(), digest_size=8).digest(), "big", signed=True)))
+        else:
+            a, b = (np.concatenate(x) for x in zip(*found)) if found else (ids[:0], ids[:0])
+            a, b, same = np.maximum(a, b), pa.array(np.minimum(a, b)), pa.nulls(len(a), pa.int64())
+        return pa.table({"cell": pa.array(np.full(len(a), table["cell"][0].as_py())), "a": pa.array(a), "b": b, "same": same})
+
+    return rows.groupBy("cell").applyInArrow(run, "cell long, a long, b long, same long")
+
+
 def _solved(rows: DataFrame, width: int, seed: int, p: int, q: int) -> DataFrame:
     """Links (u, v) inside regions of (cell, id, root, text) that join two
     components: members by members of other components, size and sketch first,
@@ -363,7 +456,7 @@ def _texts(docs: DataFrame, ids: DataFrame, sets_of: DataFrame, width: int, seed
 
 def join(docs: DataFrame, width: int = 5, p: int = 8, q: int = 10) -> DataFrame:
     """doc_id, n_shingles, component_id for links of similarity p / q or more."""
-    seed = 1
+    spark, seed = docs.sparkSession, 1
     while True:
         profile = cut(profiles(docs, width, seed), "profiles")
         known = profile.where("n > 0 and doc_id is not null")
@@ -373,6 +466,12 @@ def join(docs: DataFrame, width: int = 5, p: int = 8, q: int = 10) -> DataFrame:
         seed += 1  # two sets with one digest: other hashes tell them apart
     texts, links, comp, level, radius = None, None, None, 0, 1 - p / q
     rows = docs.where("doc_id is not null and text is not null").select(F.lit(0).cast("long").alias("space"), "text")
+    amount = sets_of.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+    # Ids in regions are shortened to bytes that tell nearly all sets apart;
+    # sets that share a short id are all candidates.
+    short = min(8, max(3, -(-(amount[0].bit_length() + 6) // 8)))
+    sets_of = sets_of.withColumn("short", F.col("id").bitwiseAND(F.lit((1 << 8 * short) - 1)) if short < 8 else F.col("id"))
+    least_parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     def differing(pairs: DataFrame) -> DataFrame:
         """Pairs that would join two components as known so far."""
@@ -381,53 +480,90 @@ def join(docs: DataFrame, width: int = 5, p: int = 8, q: int = 10) -> DataFrame:
         of = lambda c: comp.select(F.col("u").alias(c), F.col("v").alias(f"{c}_root"))
         return pairs.join(of("a"), "a", "left").join(of("b"), "b", "left").where("coalesce(a_root, a) <> coalesce(b_root, b)").drop("a_root", "b_root")
 
-    def compare(pairs: DataFrame, name: str) -> DataFrame:
-        return cut(_compared(pairs, texts, width, seed), name)
+    def linked(pairs: DataFrame, name: str) -> DataFrame:
+        done = _compared(pairs, texts, width, seed)
+        return cut(done.where(F.col("shared") * q >= F.col("whole") * p).select(F.col("a").alias("u"), F.col("b").alias("v")), name)
 
-    def linked(done: DataFrame) -> DataFrame:
-        return done.where(F.col("shared") * q >= F.col("whole") * p).select(F.col("a").alias("u"), F.col("b").alias("v"))
+    def add(more: DataFrame) -> None:
+        """Takes a table of links into the links and components."""
+        nonlocal links, comp
+        before, old = links, comp
+        links = more if links is None else cut(links.union(more), "links")
+        comp = components(links if old is None else more.union(old))
+        release(before, old, more if before is not None else None)
 
     while True:
-        found = cut(_candidates(_regions(rows, width, seed, p, q, level)), "candidates")
-        near = cut(differing(_near(found.select("a", "b").distinct(), sets_of, p, q)), "near")
+        expected = 4.8 * (q - p) / (q + p) * amount[1] if level == 0 else 4.8 * (q - p) / (q + p) * rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0] / 5
+        parts = max(least_parts, int(expected / PART))
+        found = cut(_candidates(_regions(rows, width, seed, p, q, level, parts, short), short), "candidates")
+        pairs = found.where("cell is null").select(F.col("a").alias("x"), F.col("b").alias("y")).distinct()
+        crowd = cut(found.where("cell is not null").select("cell", F.col("a").alias("short")).distinct().join(sets_of.select("short", "id"), "short").select("cell", F.col("id").alias("a")), "crowd")
+        pivots = cut(crowd.groupBy("cell").agg(F.min("a").alias("b")), "pivots")
+        waiting = cut(crowd.join(pivots, "cell").where("a <> b"), "waiting")
+        pivoted = waiting.select(F.col("a").alias("x"), F.col("b").alias("y")).distinct()
+        near = cut(differing(_near(pairs, sets_of, "short", p, q).union(_near(pivoted, sets_of, "id", p, q))).distinct(), "near")
+        release(found)
         if texts is None:
-            ids = found.where("crowd").select(F.explode(F.array("a", "b")).alias("id")).union(near.select(F.explode(F.array("a", "b")).alias("id"))).distinct()
+            ids = crowd.select(F.col("a").alias("id")).union(near.select(F.explode(F.array("a", "b")).alias("id"))).distinct()
             texts = cut(_texts(docs, ids, sets_of, width, seed), "texts")
+        release(crowd, pivots)
         # One link a set first: most other candidates then lie within a component.
-        first = near.groupBy("a").agg(F.min("b").alias("b"))
-        links = linked(compare(first, "first")) if links is None else links.union(linked(compare(first, "first")))
-        comp = components(links)
-        links = cut(links.union(linked(compare(differing(near.join(first, ["a", "b"], "left_anti")), "rest"))), "links")
-        comp = components(links)
+        first = cut(near.groupBy("a").agg(F.min("b").alias("b")), "first")
+        add(linked(first, "links"))
+        add(linked(differing(near.join(first, ["a", "b"], "left_anti")), "rest"))
+        release(near, first)
         # Crowded cells that hold several components, the largest of each member
         # first: what it links often settles the others.
-        waiting, again, turn = found.where("crowd").select("cell", "a", "b"), None, 0
+        again, turn = None, 0
         while True:
             members = cut(waiting.join(differing(waiting).select("cell").distinct(), "cell"), "members")
+            release(waiting)
             if not members.limit(1).count():
+                release(members)
                 break
             now = members
             if turn < TURNS:
                 sizes = members.groupBy("cell").agg(F.count("*").alias("n"))
                 largest = members.join(sizes, "cell").groupBy("a").agg(F.max(F.struct("n", "cell")).alias("x")).select("x.cell").distinct()
                 now = cut(members.join(largest, "cell"), "now")
-            waiting, turn = members.join(now.select("cell").distinct(), "cell", "left_anti"), turn + 1
-            far = compare(now.select("a", "b").distinct(), "distances").withColumn("d", 1 - F.col("shared") / F.col("whole"))
-            far = now.join(far, ["a", "b"])
-            border = far.where(F.col("d") > radius + 1e-12).groupBy("cell").agg(F.min("d").alias("border"))
-            kept = cut(far.join(border, "cell").where(F.col("d") >= F.least(F.col("border") - radius, F.lit(radius)) - 1e-9).select("cell", F.col("a").alias("id")), "kept")
+            waiting, turn = cut(members.join(now.select("cell").distinct(), "cell", "left_anti"), "waiting"), turn + 1
+            far = cut(_compared(now.select("a", "b").distinct(), texts, width, seed), "distances")
+            far_of = now.join(far.withColumn("d", 1 - F.col("shared") / F.col("whole")), ["a", "b"])
+            border = far_of.where(F.col("d") > radius + 1e-12).groupBy("cell").agg(F.min("d").alias("border"))
+            kept = cut(far_of.join(border, "cell").where(F.col("d") >= F.least(F.col("border") - radius, F.lit(radius)) - 1e-9).select("cell", F.col("a").alias("id")), "kept")
+            # Members within the radius are linked to the pivot.
+            ball = cut(far.where(F.col("shared") * q >= F.col("whole") * p).select(F.col("a").alias("u"), F.col("b").alias("v")), "ball")
+            release(members, now, far)
+            add(ball)
             large = kept.groupBy("cell").count().where(F.col("count") > LOCAL).select("cell")
-            roots = kept.join(large, "cell", "left_anti").join(comp.select(F.col("u").alias("id"), F.col("v").alias("root")), "id", "left")
-            local = roots.select("cell", "id", F.coalesce("root", "id").alias("root")).join(texts, "id")
-            links = cut(links.union(_solved(local, width, seed, p, q)), "links")
-            comp = components(links)
-            more = kept.join(large, "cell").select("cell", "id")
-            again = more if again is None else again.union(more)
+            # Sketches move to the regions; texts to the pairs that they leave open,
+            # or to regions with very many of these.
+            small = kept.join(large, "cell", "left_anti")
+            rooted = lambda rows: rows.join(comp.select(F.col("u").alias("id"), F.col("v").alias("root")), "id", "left").withColumn("root", F.coalesce("root", "id"))
+            open_pairs = cut(_paired(rooted(small.join(sets_of.select("id", "n", "sketch"), "id")).select("cell", "id", "root", "n", "sketch"), p, q), "open")
+            add(linked(differing(open_pairs.where("b is not null").select("a", "b").distinct()), "settled"))
+            # Regions with the same open members are one.
+            dense = open_pairs.where("b is null")
+            dense = dense.join(dense.groupBy("same").agg(F.min("cell").alias("cell")).select("cell"), "cell").select("cell", F.col("a").alias("id"))
+            if dense.limit(1).count():
+                add(cut(_solved(rooted(dense.join(texts, "id")).select("cell", "id", "root", "text"), width, seed, p, q), "solved"))
+            release(open_pairs)
+            more = cut(kept.join(large, "cell").select("cell", "id"), "more")
+            release(kept)
+            if not more.limit(1).count():
+                release(more)
+            else:
+                joined = more if again is None else cut(again.union(more), "again")
+                if again is not None:
+                    release(again, more)
+                again = joined
+        if level:
+            release(rows)
         if again is None:
             break
         rows, level = cut(again.join(texts, "id").select(F.col("cell").alias("space"), "text"), "rows"), level + 1
-        if not rows.limit(1).count():
-            break
+        release(again)
+    release(texts, links)
     least = sets_of.select("id", "doc").join(comp.select(F.col("u").alias("id"), "v"), "id", "left").select("id", "doc", F.coalesce("v", "id").alias("root"))
     roots = least.groupBy("root").agg(F.min("doc").alias("component"))
     of_set = least.join(roots, "root").select("id", "component")
