@@ -9,11 +9,13 @@ rows with the query's own vec_id are among their rows, give each query a
 threshold; only blocks whose upper bound reaches it get the query.
 Blocks are solved locally and the partial lists merged.
 
-Distribution: pivots and summaries are bounded by ``PIVOTS * RINGS`` and go
-with the tasks; queries go to the blocks, data move once. A block with more
-than ``BLOCK_ROWS`` members is dealt by hash into parts, and so are its
-queries beyond ``QUERY_ROWS``, so a vector that a third of all rows share or a
-crowded group is spread. No candidate is capped: ties of bounds are kept.
+Distribution: pivots grow with the data up to ``MOST_PIVOTS``, so pivots and
+summaries are bounded and go with the tasks; queries go to the blocks. A block
+with more than ``BLOCK_ROWS`` members is dealt by hash into parts, and so are
+the queries that it gets beyond ``QUERY_BYTES``, so a vector that a third of
+all rows share or a crowded group is spread. Members move once for each such
+slice of queries of their own block, not at all if no query needs the block.
+No candidate is capped: ties of bounds are kept.
 
 Defined cases: vectors that are null, empty or hold null or non-finite
 components take no part, nor do rows without vec_id; a shorter vector counts
@@ -29,8 +31,13 @@ from pyspark.sql import functions as F
 
 from .common import cut
 
-PIVOTS, RINGS, K, EVERY = 48, 6, 5, 50
-BLOCK_ROWS, QUERY_ROWS = 16_384, 4_096
+RINGS, K, EVERY = 6, 5, 50
+#: Pivots: one for so many vectors, between the least and the most.
+PIVOT_ROWS, LEAST_PIVOTS, MOST_PIVOTS = 2_000, 48, 2_048
+#: Vectors of a block, and bytes of its queries, that one task takes.
+BLOCK_ROWS, QUERY_BYTES = 16_384, 32 << 20
+#: Numbers of a matrix that is held at once.
+CELLS = 2_000_000
 #: Room for rounding in the bounds, relative to their size.
 SLACK = 1e-9
 
@@ -40,7 +47,7 @@ def _matrix(column, width: int | None = None):
     import numpy as np
 
     lens = np.diff(column.offsets.to_numpy())
-    flat = column.values.slice(column.offsets[0].as_py(), int(lens.sum())).to_numpy(zero_copy_only=False).astype(np.float64)
+    flat = column.values.slice(column.offsets[0].as_py() if len(column.offsets) else 0, int(lens.sum())).to_numpy(zero_copy_only=False).astype(np.float64)
     width = width or int(lens.max(initial=1))
     if len(lens) and (lens == width).all():
         return flat.reshape(-1, width)
@@ -69,10 +76,11 @@ def quantised(vectors: DataFrame, scale: int = 256) -> DataFrame:
     return rows.select("vec_id", F.transform("embedding", lambda x: F.floor(x * scale).cast("double")).alias("v"))
 
 
-def top_k(vectors: DataFrame, k: int = K, every: int = EVERY, pivots: int = PIVOTS, rings: int = RINGS) -> DataFrame:
+def top_k(vectors: DataFrame, k: int = K, every: int = EVERY, pivots: int | None = None, rings: int = RINGS, query_rows: int | None = None) -> DataFrame:
     """query_id, rank, vec_id, score for queries with vec_id % every = 0."""
     data = cut(quantised(vectors), "vectors")
     spark = data.sparkSession
+    pivots = pivots or min(MOST_PIVOTS, max(LEAST_PIVOTS, data.count() // PIVOT_ROWS))
     picked = data.select("v").groupBy(F.xxhash64("v").alias("h")).agg(F.first("v").alias("v")).orderBy("h").limit(pivots).collect()
     empty = "query_id long, rank int, vec_id long, score long"
     if not picked:
@@ -80,12 +88,19 @@ def top_k(vectors: DataFrame, k: int = K, every: int = EVERY, pivots: int = PIVO
     width = max(data.agg(F.max(F.size("v"))).first()[0], 1)
     centres = [list(r["v"]) + [0.0] * (width - len(r["v"])) for r in picked]
 
+    def few(batches, columns):
+        """Rows few at a time, for a matrix with so many columns."""
+        step = max(1, CELLS // columns)
+        for batch in batches:
+            for i in range(0, batch.num_rows, step):
+                yield batch.slice(i, step)
+
     def assign(batches):
         import numpy as np
         import pyarrow as pa
 
         p = np.array(centres)
-        for batch in batches:
+        for batch in few(batches, len(p)):
             x = _matrix(batch.column(1), width)
             d = np.maximum((x**2).sum(1)[:, None] - 2 * x @ p.T + (p**2).sum(1), 0)
             g = d.argmin(1)
@@ -98,11 +113,10 @@ def top_k(vectors: DataFrame, k: int = K, every: int = EVERY, pivots: int = PIVO
     edges = F.create_map(*[F.lit(x) for g, (lo, w) in sorted(span.items()) for x in (g, lo)]), F.create_map(*[F.lit(x) for g, (lo, w) in sorted(span.items()) for x in (g, w)])
     ring = F.least(F.floor((F.col("d") - F.element_at(edges[0], F.col("g"))) / F.element_at(edges[1], F.col("g")) * rings), F.lit(rings - 1)).cast("int")
     blocks = placed.withColumn("block", F.col("g") * rings + ring)
-    summary = {r["block"]: tuple(r)[1:] for r in blocks.groupBy("block").agg(F.count("*"), F.max("d"), F.max("norm"), F.count_if(F.col("vec_id") % every == 0)).collect()}
+    summary = {r["block"]: tuple(r)[1:] for r in blocks.groupBy("block").agg(F.count("*"), F.max("d"), F.max("norm")).collect()}
     names = sorted(summary)
-    queries_all = sum(s[3] for s in summary.values())
     parts = {b: -(-summary[b][0] // BLOCK_ROWS) for b in names}
-    slices = max(1, -(-queries_all // QUERY_ROWS))
+    query_rows = query_rows or max(1, QUERY_BYTES // (8 * width))
 
     def needed(batches):
         import numpy as np
@@ -110,8 +124,8 @@ def top_k(vectors: DataFrame, k: int = K, every: int = EVERY, pivots: int = PIVO
 
         p = np.array(centres)[[b // rings for b in names]]
         count, radius, norm = (np.array([summary[b][i] for b in names], float) for i in range(3))
-        n_parts = np.array([parts[b] for b in names])
-        for batch in batches:
+        labels = pa.array(names, pa.int32())
+        for batch in few(batches, len(names)):
             q = _matrix(batch.column(1), width)
             size = np.sqrt((q**2).sum(1))[:, None]
             mid = q @ p.T
@@ -121,10 +135,9 @@ def top_k(vectors: DataFrame, k: int = K, every: int = EVERY, pivots: int = PIVO
             enough = np.cumsum(count[order], axis=1) >= k + batch.column(2).to_numpy()[:, None]
             rows = np.arange(len(q))
             limit = np.where(enough.any(1), np.take_along_axis(low, order, 1)[rows, enough.argmax(1)], -np.inf)
-            at, block = np.nonzero(high >= limit[:, None] - np.abs(limit[:, None]) * SLACK - 1e-6 if np.isfinite(limit).all() else high >= limit[:, None])
-            for i in range(n_parts[block].max(initial=1)):
-                keep = n_parts[block] > i
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at[keep])), batch.column(1).take(pa.array(at[keep])), pa.array(np.array(names)[block[keep]], pa.int32()), pa.array(np.full(keep.sum(), i), pa.int32())], ["vec_id", "v", "block", "part"])
+            fits = high >= limit[:, None] - np.abs(limit[:, None]) * SLACK - 1e-6 if np.isfinite(limit).all() else high >= limit[:, None]
+            to = pa.array(np.concatenate([[0], np.cumsum(fits.sum(1))]), pa.int32())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.ListArray.from_arrays(to, labels.take(pa.array(np.nonzero(fits)[1])))], ["vec_id", "v", "blocks"])
 
     asked = data.where(F.col("vec_id") % every == 0)
     # Rows with a query's own vec_id are no candidates, however many.
@@ -133,14 +146,24 @@ def top_k(vectors: DataFrame, k: int = K, every: int = EVERY, pivots: int = PIVO
     own = asked.withColumn("own", F.lit(1).cast("long"))
     if again:
         own = asked.join(times, F.col("vec_id") == F.col("query_id")).select("vec_id", "v", F.col("count").alias("own"))
-    queries = own.mapInArrow(needed, "vec_id long, v array<double>, block int, part int")
-    queries = queries.withColumn("slice", F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(slices)).cast("int"))
-    many = [b for b in names if parts[b] > 1]
-    part = F.lit(0)
-    if many:
-        table = F.create_map(*[F.lit(x) for b in many for x in (b, parts[b])])
-        part = F.pmod(F.xxhash64("vec_id"), F.coalesce(F.element_at(table, F.col("block")), F.lit(1))).cast("int")
-    stored = blocks.select("vec_id", "v", "block", part.cast("int").alias("part"), F.explode(F.array(*[F.lit(i) for i in range(slices)])).alias("slice"))
+    plan = cut(own.mapInArrow(needed, "vec_id long, v array<double>, blocks array<int>"), "plan")
+    asked_of = {r["block"]: r["count"] for r in plan.select(F.explode("blocks").alias("block")).groupBy("block").count().collect()}
+    slices = {b: -(-n // query_rows) for b, n in asked_of.items()}
+
+    def of_block(found: dict[int, int]):
+        many = {b: n for b, n in found.items() if n > 1}
+        if not many:
+            return F.lit(1)
+        return F.coalesce(F.element_at(F.create_map(*[F.lit(x) for b in sorted(many) for x in (b, many[b])]), F.col("block")), F.lit(1))
+
+    def all_below(n):
+        return F.explode(F.sequence(F.lit(0), n - 1))
+
+    dealt = lambda n, salt: F.pmod(F.xxhash64("vec_id", F.lit(salt)), n).cast("int")
+    queries = plan.select("vec_id", "v", F.explode("blocks").alias("block"))
+    queries = queries.select("vec_id", "v", "block", dealt(of_block(slices), 1).alias("slice"), all_below(of_block(parts)).alias("part"))
+    stored = blocks.where(F.col("block").isin(sorted(asked_of))) if len(asked_of) < len(names) else blocks
+    stored = stored.select("vec_id", "v", "block", dealt(of_block(parts), 2).alias("part"), all_below(of_block(slices)).alias("slice"))
 
     def solve(key, left, right):
         import numpy as np
