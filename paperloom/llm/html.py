@@ -5,22 +5,28 @@ labelled elements whose texts are leaves. Wrappers are inferred by aligning
 trees: repeated neighbours fold into repeated groups, elements that only some
 pages have become optional, texts that differ become slots, texts that never
 do stay constant. The result is a union-free regular expression over elements.
-The host's wrapper shows which element carries the article (semantics first,
-then the mass of its texts that are not constant). Constant texts only take
-part in that choice; none is dropped from an article. Extraction walks each
-page along that path, without menus, headers, footers,
-sidebars, notices, adverts, forms, scripts, styles and reader comments; a page
-that doesn't fit the wrapper is judged by itself.
+
+The host's wrapper decides what is extracted. The article is the element with
+the greatest mass of slots among those that call themselves one (or, where none
+does, the one reached by going down while one child holds most of the mass).
+Inside it, elements whose tag or role says that they are no article go; those
+whose class only suggests it (``comments``, ``legal``) go unless they hold most
+of the article's slots, and header blocks stay unless they are the same on
+all pages. A constant text alone is never a reason to drop a block of the
+article. Extraction walks each page along that path; a page that doesn't fit
+its host's wrapper, or whose host has no other page, is a wrapper of its own.
 
 Distribution: every page of every host takes part. A task folds its pages into
 a wrapper a host, which is merged in two steps (by host and salt, by host), so
-a host with a third of all pages sends at most one small tree a task. Only the
-path and some hashes join the pages again.
+a host with a third of all pages sends at most one small tree a task. The
+decisions are written as a table, a row a host, and join the pages again.
 
 Defined cases: null or empty html gives an empty text; a null or odd url
 belongs to the host ''; broken markup closes at the end of what holds it;
-repeated rows give repeated results; an empty table gives an empty result;
-other columns are ignored.
+elements nested deeper than ``DEPTH`` count as children of the one at that
+depth, so no text is lost; a long page takes memory in proportion to it;
+repeated rows give repeated results; ties of mass go to the first element; an
+empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -33,6 +39,8 @@ import zlib
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import cut
+
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
     r"|<(?P<raw>script|style|noscript|template|textarea|iframe|svg|title)\b[^>]*>.*?(?:</(?P=raw)\s*>|\Z)"
@@ -49,23 +57,32 @@ FENCES = frozenset("ul ol menu table dl select".split())
 #: Elements that are never part of an article.
 DROP_TAGS = frozenset("nav footer aside form script style noscript template iframe svg button select textarea input dialog menu head title label".split())
 DROP_ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar status".split())
-#: Words of class and id that mark what is not the article.
+#: Words of class and id that suggest what is not the article, and those that
+#: do so outside an article only.
 DROP_WORDS = frozenset(
-    "nav navbar navigation menu breadcrumb breadcrumbs header masthead topbar banner footer bottom sidebar aside rail ad ads adv advert adverts advertisement adsense dfp sponsor sponsored promo promotion "
+    "nav navbar navigation menu breadcrumb breadcrumbs footer bottom sidebar aside rail ad ads adv advert adverts advertisement adsense dfp sponsor sponsored promo promotion "
     "notice notices cookie cookies consent gdpr alert popup modal overlay comment comments commentlist disqus respond reply replies discussion share sharing social related recommended recommendations newsletter "
     "subscribe subscription signup login search form widget widgets pagination pager toolbar copyright legal disclaimer skip hidden".split()
 )
+HEAD_WORDS = frozenset("header masthead topbar banner".split())
 MAIN_WORDS = frozenset("article content post entry story main maincontent".split())
-#: A text has no mass in the choice of the article's path if it is constant on
-#: at least so many pages of a host.
-CONSTANT_PAGES = 20
+#: A text is constant if it is the same on all of at least so many pages.
+CONSTANT_PAGES = 3
+#: Share of the mass that an element must hold to outweigh its class, and that
+#: a child must hold to stand for an element that nothing marks.
+MOST, NEARLY_ALL = 0.5, 0.75
+DEPTH = 150
 #: Wrappers that a task holds before it passes them on.
 HELD_HOSTS = 2000
 SALTS = 32
 
 
 class Node:
-    __slots__ = ("tag", "label", "drop", "main", "parts")
+    """An element: ``hard`` if it is no article by tag, role or style, ``soft``
+    if its class suggests so, ``head`` if it may be a page's or an article's
+    header."""
+
+    __slots__ = ("tag", "label", "hard", "soft", "head", "main", "parts")
 
     def __init__(self, tag: str, attrs: dict[str, str]):
         words = re.findall(r"[a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", attrs.get("class", "") + " " + attrs.get("id", "")).lower())
@@ -73,9 +90,28 @@ class Node:
         self.tag, self.parts = tag, []
         self.label = " ".join([tag, *sorted(set(words)), *([f"@{role}"] if role else [])])
         hidden = "hidden" in attrs or attrs.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none", attrs.get("style", ""), re.I)
-        self.drop = bool(tag in DROP_TAGS or role in DROP_ROLES or hidden or (tag not in ("html", "body", "article", "main") and DROP_WORDS.intersection(words)))
+        self.hard = bool(tag in DROP_TAGS or role in DROP_ROLES or hidden)
+        named = tag not in ("html", "body", "article", "main")
+        self.soft = bool(named and DROP_WORDS.intersection(words))
+        self.head = bool(tag == "header" or (named and HEAD_WORDS.intersection(words)))
         self.main = 3 if tag == "article" else 2 if tag == "main" or role == "main" else 1 if MAIN_WORDS.intersection(words) and tag in BLOCK else 0
 
+    @classmethod
+    def of(cls, label: str) -> Node:
+        """An element with this label."""
+        tag, *words = label.split(" ")
+        role = next((x[1:] for x in words if x[0] == "@"), "")
+        return cls(tag, {"class": " ".join(x for x in words if x[0] != "@"), "role": role})
+
+
+class _Deep:
+    """An element below ``DEPTH``: what it holds goes to the one at that depth."""
+
+    __slots__ = ("tag", "parts")
+
+    def __init__(self, tag: str, parts: list):
+        self.tag, self.parts = tag, parts
+
 
 def parse(page: str) -> Node:
     """The tree of a page; parts of a node are nodes and decoded texts."""
@@ -92,6 +128,8 @@ def parse(page: str) -> Node:
         if m["end"]:
             for i in range(len(stack) - 1, 0, -1):
                 if stack[i].tag == tag:
+                    if i > DEPTH and tag in BLOCK:
+                        stack[i].parts.append(Node("div", {}))
                     del stack[i:]
                     break
             continue
@@ -104,14 +142,22 @@ def parse(page: str) -> Node:
                 break
         attrs = {(a[0] or a[4]).lower(): a[1] or a[2] or a[3] for a in _ATTR.findall(m["attrs"] or "")}
         node = Node(tag, attrs)
-        stack[-1].parts.append(node)
-        if tag not in VOID and not (m["attrs"] or "").endswith("/"):
-            stack.append(node)
+        opens = tag not in VOID and not (m["attrs"] or "").endswith("/")
+        if len(stack) <= DEPTH or not opens:
+            stack[-1].parts.append(node)
+            if opens:
+                stack.append(node)
+        else:
+            if tag in BLOCK:
+                stack[-1].parts.append(Node("div", {}))
+            stack.append(_Deep(tag, [] if node.hard or node.soft else stack[-1].parts))
     return root
 
 
-def blocks(node: Node, dropping: bool = True, inside: bool = False) -> list[str]:
-    """The texts of a node's blocks in page order, white space collapsed."""
+def blocks(node: Node, plan: dict | None = None, inside: bool = False) -> list[str]:
+    """The texts of a node's blocks in page order, white space collapsed,
+    without what the wrapper's plan says goes."""
+    kept, gone = (plan["kept"], plan["gone"]) if plan else ((), ())
     out, run = [], []
 
     def flush():
@@ -128,7 +174,7 @@ def blocks(node: Node, dropping: bool = True, inside: bool = False) -> list[str]
             block = part.tag in BLOCK
             if block:
                 flush()
-            if not (dropping and (part.drop or (part.tag == "header" and not article))):
+            if not (part.hard or (part.soft and part.label not in kept) or (part.head and (not article or part.label in gone))):
                 walk(part, article or part.tag == "article")
             if block:
                 flush()
@@ -138,38 +184,6 @@ def blocks(node: Node, dropping: bool = True, inside: bool = False) -> list[str]
     return out
 
 
-def _mass(node: Node) -> int:
-    return sum(map(len, blocks(node)))
-
-
-def main_node(root: Node) -> Node:
-    """The article of one page, judged by itself."""
-    best: tuple = (0, 0, None)
-
-    def walk(x: Node):
-        nonlocal best
-        for part in x.parts:
-            if isinstance(part, Node) and not part.drop:
-                if part.main:
-                    mass = _mass(part)
-                    if mass and (part.main, mass) > best[:2]:
-                        best = (part.main, mass, part)
-                walk(part)
-
-    walk(root)
-    if best[2] is not None:
-        return best[2]
-    # Without any mark: go down while one child holds most of the text.
-    node = root
-    while True:
-        kids = [(len("".join(blocks(p))), p) for p in node.parts if isinstance(p, Node) and not p.drop and p.tag in BLOCK]
-        whole = _mass(node)
-        top = max(kids, key=lambda x: x[0], default=(0, None))
-        if top[1] is None or top[0] < 0.75 * whole or not whole:
-            return node
-        node = top[1]
-
-
 # ---- wrappers: [label, pages, repeated, text, children] --------------------
 # text: None for elements; for leaves [hash or None for a slot, characters].
 
@@ -194,7 +208,7 @@ def tree(node: Node) -> list:
             if isinstance(part, str):
                 run.append(part)
             elif part.tag not in BLOCK:
-                if not part.drop:
+                if not part.hard and not part.soft:
                     walk(part)
             else:
                 flush()
@@ -263,35 +277,65 @@ def expression(w: list) -> str:
     return f"({body})+" if w[2] else body
 
 
-def article_path(w: list) -> list[str]:
-    """Labels from the root to the article's element."""
+def decide(w: list) -> dict:
+    """What a wrapper says about its pages: ``path``, labels from the root to
+    the article's element; ``kept``, labels inside whose class doesn't count;
+    ``gone``, labels of headers that are the same on all pages."""
+    marks: dict[str, Node] = {}
 
-    def marks(label: str) -> tuple[bool, int]:
-        tag, *words = label.split(" ")
-        role = next((x[1:] for x in words if x[0] == "@"), "")
-        node = Node(tag, {"class": " ".join(x for x in words if x[0] != "@"), "role": role})
-        return node.drop, node.main
+    def of(label: str) -> Node:
+        if label not in marks:
+            marks[label] = Node.of(label)
+        return marks[label]
+
+    def constant(x: list) -> bool:
+        return x[3][0] is not None and x[1] >= CONSTANT_PAGES
 
-    def mass(x: list) -> int:
+    def mass(x: list, dropping: bool = True) -> int:
+        """Characters in slots."""
         if x[3] is not None:
-            return x[3][1] if x[3][0] is None or x[1] < CONSTANT_PAGES else 0
-        return 0 if marks(x[0])[0] else sum(map(mass, x[4]))
+            return 0 if constant(x) else x[3][1]
+        m = of(x[0])
+        return 0 if m.hard or (dropping and m.soft) else sum(mass(k, dropping) for k in x[4])
 
-    best: tuple = (0, 0, [])
+    whole, best = mass(w, False), (0, 0, [], w)
+
+    def enters(k: list) -> bool:
+        m = of(k[0])
+        return k[3] is None and not m.hard and (not m.soft or mass(k, False) > MOST * whole)
 
     def walk(x: list, path: list[str]):
         nonlocal best
-        for k in x[4]:
-            if k[3] is None:
-                drop, main = marks(k[0])
-                if not drop:
-                    size = mass(k)
-                    if main and size and (main, size) > best[:2]:
-                        best = (main, size, [*path, k[0]])
-                    walk(k, [*path, k[0]])
+        for k in filter(enters, x[4]):
+            size = mass(k, False)
+            if of(k[0]).main and size and (of(k[0]).main, size) > best[:2]:
+                best = (of(k[0]).main, size, [*path, k[0]], k)
+            walk(k, [*path, k[0]])
 
     walk(w, [])
-    return best[2]
+    path, node = best[2], best[3]
+    while not best[2]:
+        kids = [(mass(k), k) for k in node[4] if enters(k)]
+        top = max(kids, key=lambda x: x[0], default=(0, None))
+        if not top[0] or top[1][2] or top[0] < NEARLY_ALL * mass(node):
+            break  # nothing, a repeated group, or no child stands for the whole
+        node = top[1]
+        path = [*path, node[0]]
+    slots = mass(node, False)
+    kept, gone = set(), set()
+
+    def judge(x: list):
+        for k in x[4]:
+            if k[3] is None and not of(k[0]).hard:
+                size = mass(k, False)
+                if of(k[0]).soft and size > MOST * slots:
+                    kept.add(k[0])
+                if of(k[0]).head and slots and not size and k[1] >= CONSTANT_PAGES:
+                    gone.add(k[0])
+                judge(k)
+
+    judge(node)
+    return {"path": path, "kept": sorted(kept), "gone": sorted(gone)}
 
 
 def _follow(root: Node, path: list[str]) -> Node | None:
@@ -299,17 +343,21 @@ def _follow(root: Node, path: list[str]) -> Node | None:
     found = [root]
     for label in path:
         found = [p for x in found for p in x.parts if isinstance(p, Node) and p.label == label]
-    return max(found, key=_mass) if len(found) > 1 else found[0] if found else None
+    return max(found, key=lambda x: sum(map(len, blocks(x)))) if len(found) > 1 else found[0] if found else None
 
 
-def extract(page: str | None, path: list[str] | None = None) -> str:
-    """The main text of a page, along a wrapper's path where it fits."""
+def extract(page: str | None, plan: dict | None = None) -> str:
+    """The main text of a page, as its host's wrapper says where it fits."""
     if not page:
         return ""
     root = parse(page)
-    node = _follow(root, path) if path else None
-    found = blocks(node) if node is not None else []
-    return " ".join(found or blocks(main_node(root)))
+    for own in (plan, None):
+        own = own or decide(tree(root))
+        node = _follow(root, own["path"])
+        found = blocks(node, own) if node is not None else []
+        if found:
+            return " ".join(found)
+    return ""
 
 
 # ---- distribution ---------------------------------------------------------
@@ -367,12 +415,12 @@ def wrappers(pages: DataFrame) -> DataFrame:
 def main_text(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars of every page."""
 
-    def paths(batches):
+    def plans(batches):
         import pyarrow as pa
 
         for batch in batches:
-            found = [json.dumps(article_path(json.loads(w))) for w in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.string())], ["host", "path"])
+            found = [json.dumps(decide(json.loads(w))) for w in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.string())], ["host", "plan"])
 
     def apply(batches):
         import pyarrow as pa
@@ -388,7 +436,9 @@ def main_text(pages: DataFrame) -> DataFrame:
                 out.append(extract(page, kept[found]))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.string()), pa.array([len(t) for t in out], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
-    plans = wrappers(pages).mapInArrow(paths, "host string, path string")
+    # As a table: its size is known then, so a small one goes with the tasks and
+    # the pages of a large host are not gathered.
+    decided = cut(wrappers(pages).mapInArrow(plans, "host string, plan string"), "plans")
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html", host().alias("host"))
-    rows = rows.join(plans, "host", "left").select("page_id", "url", "html", "path")
+    rows = rows.join(decided, "host", "left").select("page_id", "url", "html", "plan")
     return rows.mapInArrow(apply, "page_id long, url string, text string, n_chars long")
