@@ -1,6 +1,6 @@
 """Registered queries and their SQL counterparts."""
 
-from . import analytics, business, reviews, streams, texts
+from . import analytics, business, lines, reviews, streams, texts
 from .registry import FLAGSHIP, QUERIES, SQL
 
-__all__ = ["FLAGSHIP", "QUERIES", "SQL", "analytics", "business", "reviews", "streams", "texts"]
+__all__ = ["FLAGSHIP", "QUERIES", "SQL", "analytics", "business", "lines", "reviews", "streams", "texts"]

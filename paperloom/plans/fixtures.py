@@ -47,8 +47,49 @@ from {line_items} li cross join (select * from (values (0,'row',20,35),(1,'descr
     "invoice_text": """
 select doc_id, concat('Facture N° ', coalesce(invoice_number,''), chr(10), 'Date facture: ', invoice_date, chr(10), 'Fournisseur: ', supplier_name, chr(10), 'Client: ', coalesce(customer_name,''), chr(10),
  'Total HT: ', amount_ht, chr(10), 'TVA 19%: ', tva_amount, chr(10), 'Total TTC: ', coalesce(concat('',amount_ttc),''), ' ', coalesce(currency,'')) as text from {invoices}""",
+    "page_lines": """
+select i.doc_id, k.page as page_number, k.ord as line_index,
+ replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(case i.doc_id % 3 when 0 then k.en when 1 then k.fr else k.alt end,
+  '{{sup}}', i.supplier_name), '{{cus}}', coalesce(i.customer_name, 'Walk In')), '{{no}}', coalesce(i.invoice_number, '')), '{{date}}', concat('', i.invoice_date)),
+  '{{dmy}}', concat(lpad(concat('', day(i.invoice_date)), 2, '0'), '/', lpad(concat('', month(i.invoice_date)), 2, '0'), '/', year(i.invoice_date))),
+  '{{due}}', concat(lpad(concat('', 1 + i.doc_id % 28), 2, '0'), '/12/', year(i.invoice_date))),
+  '{{ht}}', concat('', i.amount_ht)), '{{tva}}', concat('', i.tva_amount)), '{{ttc}}', coalesce(concat('', i.amount_ttc), '')), '{{cur}}', coalesce(i.currency, '')) as raw_text,
+ cast(k.conf as decimal(4,2)) as confidence, k.x1 + (i.doc_id % 4) as x1, k.y1 as y1, k.x2 + (i.doc_id % 4) as x2, k.y2 as y2, 800 as page_width, 1100 as page_height
+from {invoices} i cross join (select * from (values
+ (0,1,40,40,300,60,0.97,'{{sup}} LLC','{{sup}} SARL','{{sup}} Trading Group'),
+ (1,1,40,64,260,80,0.93,'12 Main Street','12 rue de Paris','Road 7, Suite 4'),
+ (2,1,40,84,260,100,0.91,'contact@shop{{n}}.com','Tél: +216 71 234 567','Phone: 555-123-4567'),
+ (3,1,460,40,700,60,0.95,'Invoice Number: {{no}}','Facture N° {{no}}','Invoice Number'),
+ (4,1,460,64,700,80,0.94,'Invoice Date: {{date}}','Date facture: {{dmy}}','{{no}}'),
+ (5,1,460,84,560,100,0.92,'Due Date','Echéance','Due Date: {{due}}'),
+ (6,1,580,84,700,100,0.92,'{{due}}','{{due}}','Date: {{dmy}}'),
+ (7,1,460,130,600,148,0.90,'Bill To','Client','Customer'),
+ (8,1,460,152,700,170,0.94,'{{cus}} Inc','{{cus}} Trading','{{cus}} Medical'),
+ (9,1,460,174,700,190,0.88,'Tax ID: 99{{n}}00A','MF: 123{{n}}/A','VAT number: FR{{n}}77'),
+ (10,1,40,240,790,258,0.96,'Description Qty Unit Price Total','Désignation Qté Prix Unitaire Montant','Item Description | Quantity | Price | Amount'),
+ (11,1,40,270,790,288,0.89,'PRD-{{n}} Widget 2 10.50 21.00','PRD-{{n}} Câble 3 4,00 12,00','Box of screws 4 2.50 10.00'),
+ (12,1,60,300,220,318,0.86,'Blue Chair','Chaise Bleue','Service plan'),
+ (13,1,60,320,220,338,0.84,'of wood and steel','en bois et acier','per month'),
+ (14,1,560,600,660,618,0.93,'Subtotal','Total HT','Sub total: {{ht}}'),
+ (15,1,700,600,790,618,0.95,'{{ht}}','{{ht}}','Sales Tax'),
+ (16,1,560,630,660,648,0.93,'Sales Tax','TVA 19%','{{tva}}'),
+ (17,1,700,630,790,648,0.95,'{{tva}}','{{tva}}','Shipping 0.00'),
+ (18,1,560,660,660,678,0.94,'Total Due','Total TTC','Amount Due: {{ttc}} {{cur}}'),
+ (19,1,700,660,790,678,0.95,'{{ttc}} {{cur}}','{{ttc}} {{cur}}','Grand total {{ttc}}'),
+ (20,1,40,700,300,718,0.90,'Payment details','IBAN: TN59 1000 6035 1835 9847','Bank: First Bank'),
+ (21,1,40,730,120,748,0.80,'K1A 0B1','75001','90210'),
+ (22,1,40,760,300,778,0.85,'Thank you for your business','Merci de votre confiance','Terms and conditions apply'),
+ (23,1,40,790,60,800,0.30,'***','--','ab'),
+ (24,1,40,130,300,148,0.91,'PO Number: PO-{{n}}','Bon de commande: BC-{{n}}','Order number ON{{n}}'),
+ (25,1,40,160,300,178,0.83,'شركة النور للتجارة','شركة الامل','النور'),
+ (26,2,40,40,120,58,0.92,'Page 2','Page 2','Page 2'),
+ (27,2,40,70,300,88,0.95,'{{sup}} LLC','{{sup}} SARL','{{sup}} Trading Group'),
+ (28,2,460,70,700,88,0.20,'lorem dolor amet','lorem dolor amet','lorem'),
+ (29,2,560,600,700,618,0.93,'Net worth','Résumé TVA','Gross worth {{ttc}}')
+) as t(ord,page,x1,y1,x2,y2,conf,en,fr,alt)) k""",
+    "lines": "select doc_id, page_number, line_index, replace(raw_text, '{{n}}', concat('', doc_id)) as text, confidence, x1, y1, x2, y2, page_width, page_height from {page_lines}",
 }
-NEEDS = {"line_items": (), "line_items_tax": ("line_items",), "invoices": ("line_items_tax",), "attempts": (), "ocr_lines": ("line_items",), "invoice_text": ("invoices",)}
+NEEDS = {"line_items": (), "line_items_tax": ("line_items",), "invoices": ("line_items_tax",), "attempts": (), "ocr_lines": ("line_items",), "invoice_text": ("invoices",), "page_lines": ("invoices",), "lines": ("page_lines",)}
 
 
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
