@@ -7,6 +7,8 @@ the few functions that the two engines name differently; the rest is common.
     @n(x, p)      how often it does
     @all(x, p)    array of its occurrences
     @rep(x, p, r) x with all occurrences replaced
+    @back(x, p, a, b)  each occurrence as a, its first group, b, its second
+                  group if b isn't empty
     @strip(x, c)  x without leading and trailing characters of c
     @rstrip(x, c) x without trailing characters of c
     @bare(x)      x without accents
@@ -31,6 +33,7 @@ _SPARK = {
     "n": "size(regexp_extract_all({0}, {1}, 0))",
     "all": "regexp_extract_all({0}, {1}, 0)",
     "rep": "regexp_replace({0}, {1}, {2})",
+    "back": "regexp_replace({0}, {1}, concat({2}, '$1', {3}, if({3} = '', '', '$2')))",
     "strip": "trim(both {1} from {0})",
     "rstrip": "trim(trailing {1} from {0})",
     "bare": f"translate({{0}}, '{ACCENTED}', '{PLAIN}')",
@@ -45,6 +48,7 @@ _DUCK = {
     "n": "len(regexp_extract_all({0}, {1}))",
     "all": "regexp_extract_all({0}, {1})",
     "rep": "regexp_replace({0}, {1}, {2}, 'g')",
+    "back": "regexp_replace({0}, {1}, concat({2}, '\\1', {3}, case when {3} = '' then '' else '\\2' end), 'g')",
     "strip": "trim({0}, {1})",
     "rstrip": "rtrim({0}, {1})",
     "bare": "strip_accents({0})",
@@ -81,9 +85,7 @@ def _write(sql: str, names: dict[str, str]) -> str:
     while m := _MACRO.search(sql):
         found, end = _arguments(sql, m.end())
         found = [x.strip() for x in found]
-        text = names[m[1]].replace("{*}", ", ".join(found))
-        for i, x in enumerate(found):
-            text = text.replace("{" + str(i) + "}", x)
+        text = re.sub(r"\{(\*|[0-9])\}", lambda k: ", ".join(found) if k[1] == "*" else found[int(k[1])], names[m[1]])
         sql = sql[: m.start()] + text + sql[end:]
     return sql
 

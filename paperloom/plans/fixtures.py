@@ -88,8 +88,37 @@ from {invoices} i cross join (select * from (values
  (29,2,560,600,700,618,0.93,'Net worth','Résumé TVA','Gross worth {{ttc}}')
 ) as t(ord,page,x1,y1,x2,y2,conf,en,fr,alt)) k""",
     "lines": "select doc_id, page_number, line_index, replace(raw_text, '{{n}}', concat('', doc_id)) as text, confidence, x1, y1, x2, y2, page_width, page_height from {page_lines}",
+    "runs": """
+select i.doc_id as document_id, concat('ds', i.doc_id % 5) as dataset_name, concat('batch', i.doc_id % 3, '/doc-', i.doc_id, '.png') as relative_path,
+ case when i.doc_id % 41 = 0 then 'failed' when i.doc_id % 37 = 0 then 'timeout' when i.doc_id % 43 = 0 then 'interrupted' else 'completed' end as execution_status,
+ case i.doc_id % 4 when 0 then 'valid' when 1 then 'needs_review' else 'invalid' end as extraction_status, case when i.doc_id % 3 = 0 then 'ready' else 'blocked' end as erp_status,
+ case when i.doc_id % 47 = 0 then '' when i.doc_id % 29 = 0 then 'receipt' else 'invoice' end as document_type,
+ case when i.doc_id % 53 = 0 then null else cast((i.doc_id * 7919 % 101) * 0.01 as decimal(6,2)) end as overall_confidence,
+ case i.doc_id % 11 when 0 then null when 1 then 'Bill To' when 2 then 'Unit Price' when 3 then '75001' when 4 then concat(i.supplier_name, ' LLC') when 5 then 'The goods were sent. They came: late' else i.supplier_name end as supplier_pred, i.supplier_name as supplier_true,
+ case when i.doc_id % 13 = 1 then i.supplier_name when i.doc_id % 13 = 2 then concat('  ', upper(i.customer_name), ' Inc.') else i.customer_name end as customer_pred, i.customer_name as customer_true,
+ case i.doc_id % 9 when 0 then '2024' when 1 then '12/05/2024' when 2 then cast(i.amount_ttc as string) else i.invoice_number end as number_pred, i.invoice_number as number_true,
+ case when i.doc_id % 19 = 0 then null else cast(i.invoice_date as string) end as date_pred, cast(i.invoice_date as string) as date_true, i.currency as currency_pred, coalesce(i.currency, 'EUR') as currency_true,
+ i.amount_ht as ht_pred, case when i.doc_id % 23 = 0 then cast(i.amount_ht * 2 as decimal(18,3)) else i.tva_amount end as tva_pred, case when i.doc_id % 59 = 0 then cast(2020 as decimal(18,3)) when i.doc_id % 61 = 0 then cast(0.5 as decimal(18,3)) when i.doc_id % 67 = 0 then cast(-3 as decimal(18,3)) else i.amount_ttc end as ttc_pred, cast(i.amount_ht + i.tva_amount as decimal(18,3)) as ttc_true,
+ cast(case when i.doc_id % 17 = 0 then 0 else i.doc_id % 6 end as int) as count_pred, cast(i.doc_id % 7 as int) as count_true, cast(case when i.doc_id % 17 = 0 then 0 else (i.doc_id % 6) - (i.doc_id % 2) * (case when i.doc_id % 6 = 0 then 0 else 1 end) end as int) as count_validated,
+ i.doc_id % 10 <> 0 as header_found, i.doc_id % 5 <> 0 as header_confirmed, i.doc_id % 4 <> 0 as region_found, i.doc_id % 8 <> 0 as body_found, i.doc_id % 9 <> 0 as rows_found,
+ case i.doc_id % 12 when 0 then 'unsupported' when 1 then 'adapter_failed' when 2 then 'explicit_zero' else 'supported' end as truth_status, i.doc_id % 6 < 2 as changed_by_adapter,
+ cast((i.doc_id * 31 % 6007) * 0.01 as decimal(8,2)) as seconds, i.doc_id % 3 = 1 as fresh_ocr, i.doc_id % 6 = 2 as disk_hit, i.doc_id % 2 = 0 as hybrid_invoked, case i.doc_id % 4 when 1 then 'parsed' when 3 then 'malformed' else 'skipped' end as parser_status
+from {invoices} i""",
+    "field_rows": """
+select r.document_id, r.dataset_name, k.field, k.kind,
+ case k.field when 'supplier_name' then supplier_pred when 'customer_name' then customer_pred when 'invoice_number' then number_pred when 'invoice_date' then date_pred when 'currency' then currency_pred when 'amount_ttc' then cast(ttc_pred as string) else cast(count_pred as string) end as predicted,
+ case k.field when 'supplier_name' then supplier_true when 'customer_name' then customer_true when 'invoice_number' then number_true when 'invoice_date' then date_true when 'currency' then currency_true when 'amount_ttc' then cast(ttc_true as string) else cast(count_true as string) end as truth
+from {runs} r cross join (select * from (values ('supplier_name','party'),('customer_name','party'),('invoice_number','id'),('invoice_date','date'),('currency','currency'),('amount_ttc','amount'),('line_items','count')) as t(field,kind)) k""",
+    "proposals": """
+select document_id, field, predicted as deterministic, case document_id % 5 when 0 then truth when 1 then predicted when 2 then substr(truth, 1, 4) when 3 then 'invented' end as proposed, case when document_id % 31 = 0 then null else truth end as truth, document_id % 2 = 0 as accepted,
+ concat('v', document_id % 4 + 1) as prompt_version, case field when 'supplier_name' then 'missing_supplier_name' when 'customer_name' then 'missing_customer_name' when 'amount_ttc' then 'financial_inconsistency' when 'line_items' then 'line_items_need_review' when 'invoice_date' then 'missing_invoice_date' when 'currency' then 'low_overall_confidence' else 'validation_needs_review' end as trigger_reason
+from {field_rows}""",
+    "items_full": """
+select doc_id, row_index, reference, case when (doc_id + row_index) % 31 = 0 then 'total' when (doc_id + row_index) % 37 = 0 then 'ab' else description end as description, quantity, case when (doc_id + row_index) % 41 = 0 then null else unit_price end as unit_price, line_total_ht, tax_amount, case when (doc_id + row_index) % 43 = 0 then cast(8.8 as decimal(6,2)) else tax_rate end as tax_rate,
+ cast(line_total_ht + tax_amount + case when doc_id % 11 = 0 then 40 else 0 end as decimal(18,3)) as line_total_ttc, case doc_id % 4 when 0 then 'flexible numeric row' when 1 then 'table review' else 'table' end as source, case when doc_id % 3 = 0 then cast(0.62 as decimal(4,2)) else cast(0.92 as decimal(4,2)) end as confidence
+from {line_items_tax}""",
 }
-NEEDS = {"line_items": (), "line_items_tax": ("line_items",), "invoices": ("line_items_tax",), "attempts": (), "ocr_lines": ("line_items",), "invoice_text": ("invoices",), "page_lines": ("invoices",), "lines": ("page_lines",)}
+NEEDS = {"line_items": (), "line_items_tax": ("line_items",), "invoices": ("line_items_tax",), "attempts": (), "ocr_lines": ("line_items",), "invoice_text": ("invoices",), "page_lines": ("invoices",), "lines": ("page_lines",), "runs": ("invoices",), "field_rows": ("runs",), "proposals": ("field_rows",), "items_full": ("line_items_tax",)}
 
 
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
