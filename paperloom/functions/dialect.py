@@ -16,6 +16,9 @@ the few functions that the two engines name differently; the rest is common.
     @words(x)     array of the parts of x between white space
     @cnt(a, c)    elements w of array a for which condition c holds
     @codes(a, b)  the parts that aren't null, joined by commas
+    @even(x)      x rounded half to even
+    @at(a, i)     the element of array a after i others, null if there is none
+    @one()        the index of an array's first element
     @hash(x)      SHA-256 in hexadecimal digits
 """
 
@@ -41,6 +44,9 @@ _SPARK = {
     "words": "filter(split({0}, r'\\s+'), w -> w <> '')",
     "cnt": "size(filter({0}, w -> {1}))",
     "codes": "array_join(array({*}), ',')",
+    "even": "cast(bround({0}) as bigint)",
+    "at": "get({0}, {1})",
+    "one": "0",
     "hash": "sha2({0}, 256)",
 }
 _DUCK = {
@@ -56,6 +62,12 @@ _DUCK = {
     "words": "list_filter(regexp_split_to_array({0}, '\\s+'), lambda w: w <> '')",
     "cnt": "cast(len(list_filter({0}, lambda w: {1})) as integer)",
     "codes": "coalesce(array_to_string([{*}], ','), '')",
+    "even": "cast(bround({0}) as bigint)",
+    "at": "get({0}, {1})",
+    "one": "0",
+    "even": "cast(round_even({0}, 0) as bigint)",
+    "at": "{0}[{1} + 1]",
+    "one": "1",
     "hash": "sha256({0})",
 }
 _MACRO = re.compile(r"@([a-z]+)\(")

@@ -117,8 +117,24 @@ from {field_rows}""",
 select doc_id, row_index, reference, case when (doc_id + row_index) % 31 = 0 then 'total' when (doc_id + row_index) % 37 = 0 then 'ab' else description end as description, quantity, case when (doc_id + row_index) % 41 = 0 then null else unit_price end as unit_price, line_total_ht, tax_amount, case when (doc_id + row_index) % 43 = 0 then cast(8.8 as decimal(6,2)) else tax_rate end as tax_rate,
  cast(line_total_ht + tax_amount + case when doc_id % 11 = 0 then 40 else 0 end as decimal(18,3)) as line_total_ttc, case doc_id % 4 when 0 then 'flexible numeric row' when 1 then 'table review' else 'table' end as source, case when doc_id % 3 = 0 then cast(0.62 as decimal(4,2)) else cast(0.92 as decimal(4,2)) end as confidence
 from {line_items_tax}""",
+    "candidates": """
+select r.document_id, k.field, k.ordinal, k.source, cast(k.score as decimal(6,3)) as score,
+ case k.field when 'invoice_number' then case k.ordinal when 1 then number_pred when 2 then concat('BL-', document_id) else number_true end
+  when 'invoice_date' then case k.ordinal when 1 then date_true when 2 then 'soon' else concat(substr(date_true, 9, 2), '/', substr(date_true, 6, 2), '/', substr(date_true, 1, 4)) end
+  when 'due_date' then case when document_id % 3 = 0 then date_true else concat(substr(date_true, 1, 4), '-12-28') end
+  when 'amount_ttc' then case k.ordinal when 1 then cast(ttc_pred as string) when 2 then cast(ht_pred as string) else cast(ttc_true as string) end
+  when 'amount_ht' then cast(ht_pred as string) when 'tva_amount' then cast(tva_pred as string) when 'tax_rate' then case when document_id % 9 = 0 then '190' else '19' end
+  when 'currency' then case k.ordinal when 1 then currency_pred else currency_true end else case k.ordinal when 1 then supplier_pred else customer_pred end end as value, document_type
+from {runs} r cross join (select * from (values ('invoice_number',1,'regex',0.72),('invoice_number',2,'number near document label',0.86),('invoice_number',3,'document graph',0.70),('invoice_date',1,'date near date label',0.78),('invoice_date',2,'table row',0.80),('invoice_date',3,'spatial date label due',0.87),
+ ('due_date',1,'due-date label followed by value',0.84),('amount_ttc',1,'semantic totals cluster ttc',0.70),('amount_ttc',2,'amount near ht/subtotal label',0.86),('amount_ttc',3,'sum of reconstructed line totals',0.74),('amount_ht',1,'totals block',0.86),('tva_amount',1,'amount near tax label',0.82),
+ ('tax_rate',1,'tax rate percent',0.78),('currency',1,'currency near totals',0.82),('currency',2,'currency token',0.58),('party_name',1,'supplier header',0.9),('party_name',2,'customer block',0.7)) as t(field,ordinal,source,score)) k""",
+    "strategy_rows": """
+select i.doc_id, k.strategy, i.row_index, case when k.ord = 3 and i.row_index = 1 then null else i.description end as description, case when k.ord >= 2 and (i.doc_id + i.row_index) % 3 = 0 then null else i.quantity end as quantity, i.unit_price,
+ case when k.ord = 1 and i.doc_id % 4 = 0 then cast(i.line_total_ht + 100 as decimal(18,3)) else i.line_total_ht end as total, i.doc_id % 5 <> 0 as header_confirmed, k.ord as ord
+from {items_full} i cross join (select * from (values ('COLUMNAR_TABLE',1),('KEY_VALUE_RECORDS',2),('NUMERIC_ANCHORED_ROWS',3),('HEADERLESS_COLUMNAR',4),('SINGLE_ITEM_SUMMARY',5),('REPEATED_VERTICAL_BLOCKS',6)) as t(strategy,ord)) k
+where (i.doc_id + k.ord) % 7 <> 0 and (k.ord <> 5 or i.row_index = 1)""",
 }
-NEEDS = {"line_items": (), "line_items_tax": ("line_items",), "invoices": ("line_items_tax",), "attempts": (), "ocr_lines": ("line_items",), "invoice_text": ("invoices",), "page_lines": ("invoices",), "lines": ("page_lines",), "runs": ("invoices",), "field_rows": ("runs",), "proposals": ("field_rows",), "items_full": ("line_items_tax",)}
+NEEDS = {"line_items": (), "line_items_tax": ("line_items",), "invoices": ("line_items_tax",), "attempts": (), "ocr_lines": ("line_items",), "invoice_text": ("invoices",), "page_lines": ("invoices",), "lines": ("page_lines",), "runs": ("invoices",), "field_rows": ("runs",), "proposals": ("field_rows",), "items_full": ("line_items_tax",), "candidates": ("runs",), "strategy_rows": ("items_full",)}
 
 
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
