@@ -54,9 +54,9 @@ def last_number(c: Column) -> Column:
 
 
 def confidence(c: Column) -> Column:
-    """Within [0, 1] at three digits; NaN is null."""
+    """Within [0, 1] at three digits; no value and NaN are null."""
     d = c.cast("double")
-    return F.when(~F.isnan(d), F.greatest(F.lit(0.0), F.least(F.lit(1.0), d)).cast("decimal(9,6)").cast("decimal(9,3)"))
+    return F.when(d.isNotNull() & ~F.isnan(d), F.greatest(F.lit(0.0), F.least(F.lit(1.0), d)).cast("decimal(9,6)").cast("decimal(9,3)"))
 
 
 def amounts_equal(a: Column, b: Column, least: str = "0.02", rate: str = "0.005") -> Column:
@@ -93,3 +93,50 @@ def day_first(c: Column) -> Column:
 def possible_dates(c: Column) -> Column:
     """The dates that d/m/y text can mean, month first and day first."""
     return F.array_sort(F.array_distinct(F.array_compact(F.array(F.try_to_date(c, "M/d/yyyy"), F.try_to_date(c, "d/M/yyyy")))))
+
+
+def benchmark_amount(c: Column) -> Column:
+    """An amount of a label: of both marks the right-most is decimal, a comma
+    alone is; repeated marks make it none. Not rounded."""
+    kept = F.regexp_replace(c, r"[^0-9,.\-]", "")
+    both = F.contains(kept, F.lit(",")) & F.contains(kept, F.lit("."))
+    comma_last = F.length(F.substring_index(kept, ",", -1)) < F.length(F.substring_index(kept, ".", -1))
+    plain = F.when(both & comma_last, F.replace(F.replace(kept, F.lit("."), F.lit("")), F.lit(","), F.lit("."))).when(both, F.replace(kept, F.lit(","), F.lit(""))).otherwise(F.replace(kept, F.lit(","), F.lit(".")))
+    return F.when(plain.rlike(r"^-?[0-9]+\.?[0-9]*$"), plain.try_cast("double"))
+
+
+def cell_number(c: Column) -> Column:
+    """The last money token of a cell."""
+    return amount(F.get(F.reverse(F.regexp_extract_all(c, F.lit(r"[0-9]+(?:[.,][0-9]{1,3})?"), F.lit(0))), F.lit(0)))
+
+
+def money_or_number(c: Column) -> Column:
+    """The first number; none if there are two letters or more and no mark of
+    money."""
+    many = F.length(F.regexp_replace(c, r"[^\p{L}]", "")) >= 2
+    money = c.rlike(r"[$€£]|[0-9][.,][0-9]{2}")
+    return F.when(~many | money, amount(F.get(F.regexp_extract_all(c, F.lit(r"[0-9]+(?:[.,][0-9]+)?"), F.lit(0)), F.lit(0))))
+
+
+def float_or_none(c: Column) -> Column:
+    return F.replace(F.replace(c, F.lit(" "), F.lit("")), F.lit(","), F.lit(".")).try_cast("double")
+
+
+def numbers_match(a: Column, b: Column) -> Column:
+    """1 if two numbers differ by a hundredth or half a percent at most."""
+    return (F.abs(a - b) <= F.greatest(F.lit(0.01), F.abs(b) * 0.005)).cast("int")
+
+
+def month_first(c: Column) -> Column:
+    """A date, month first if that is possible, else day first."""
+    return F.coalesce(F.try_to_date(c, "M/d/yyyy"), F.try_to_date(c, "d/M/yyyy"), F.try_to_date(c, "yyyy-M-d"))
+
+
+def in_context(c: Column, context: Column) -> Column:
+    """A d/m or m/d date: month first only beside an English label without a
+    French one."""
+    low = F.lower(context)
+    english = low.rlike("invoice date|issued|issue date|date of issue|bill date|due date|payment due")
+    french = low.rlike("date facture|facture|echeance|emission|emise|emis|commande|livraison")
+    both = c.rlike(r"^(?:0?[1-9]|1[0-2])[/.-](?:0?[1-9]|1[0-2])[/.-][0-9]{4}$")
+    return F.when(both & english & ~french, F.try_to_date(F.regexp_replace(c, "[.-]", "/"), "M/d/yyyy")).otherwise(day_first(c))

@@ -13,14 +13,46 @@ PLACEHOLDERS = ("todo", "tbd", "unknown", "n/a", "na", "none", "null", "placehol
 DOTTED_FORMS = (("s.a.r.l", "sarl"), ("s.a", "sa"), ("l.l.c", "llc"), ("inc.", "inc"), ("ltd.", "ltd"))
 DIGITS = ("٠١٢٣٤٥٦٧٨٩۰۱۲۳۴۵۶۷۸۹", "01234567890123456789")
 
-ACCENTED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿÀÁÂÃÄÅÇÈÉÊËÌÍÎÏÑÒÓÔÕÖÙÚÛÜÝ"
-PLAIN = "aaaaaaceeeeiiiinooooouuuuyyAAAAAACEEEEIIIINOOOOOUUUUY"
+
+
+def _accents() -> tuple[str, str]:
+    """Letters whose canonical decomposition is a letter and marks, with that
+    letter; then the marks, which have no counterpart and so disappear."""
+    import unicodedata
+
+    old, new, marks = [], [], []
+    for i in range(0xC0, 0x2000):
+        c = chr(i)
+        if unicodedata.category(c) == "Mn" and 0x300 <= i < 0x370:
+            marks.append(c)
+            continue
+        whole = unicodedata.normalize("NFD", c)
+        bare = "".join(x for x in whole if unicodedata.category(x) != "Mn")
+        if len(whole) > 1 and len(bare) == 1 and unicodedata.category(c)[0] == "L":
+            old.append(c)
+            new.append(bare)
+    return "".join(old + marks), "".join(new)
+
+
+ACCENTED, PLAIN = _accents()
+
+
+def compatible(c: Column) -> Column:
+    """Compatibility composition (NFKC). Texts of ASCII and plain Latin letters
+    are composed already; only others go to Python, in Arrow batches."""
+
+    def run(texts):
+        import unicodedata
+
+        return texts.map(lambda t: unicodedata.normalize("NFKC", t), na_action="ignore")
+
+    return F.when(c.rlike("[^\\x00-\\x7FÀ-ÖØ-öø-ÿ°]"), F.pandas_udf(run, "string")(c)).otherwise(c)
 
 
 def normalize_spacing(c: Column) -> Column:
-    """Compatibility spaces to spaces, runs of them to one, blank lines to at
-    most one, trimmed."""
-    c = F.regexp_replace(F.replace(F.coalesce(c, F.lit("")), F.lit(chr(0xA0)), F.lit(" ")), "[ \t]+", " ")
+    """Compatibility characters composed, runs of blanks to one, blank lines to
+    at most one, trimmed."""
+    c = F.regexp_replace(F.replace(compatible(F.coalesce(c, F.lit(""))), F.lit(chr(0xA0)), F.lit(" ")), "[ \t]+", " ")
     return F.regexp_replace(F.regexp_replace(c, "\n{3,}", "\n\n"), r"^\s+|\s+$", "")
 
 
@@ -134,3 +166,34 @@ def description(c: Column) -> Column:
     c = F.regexp_replace(F.regexp_replace(F.trim(c), r"^0?[0-9]{1,3}[ .)\-]+", ""), r"\s+", " ")
     c = F.regexp_replace(c, r"^[ |:\-]+|[ |:\-]+$", "")
     return F.when(F.length(F.regexp_replace(c, r"[^\p{L}]", "")) >= 3, c)
+
+
+def first_match(c: Column, *patterns: str) -> Column:
+    """The first group (or the whole) of the first pattern that occurs, case
+    ignored, lines apart."""
+    found = []
+    for p in patterns:
+        whole = F.regexp_extract(c, f"(?im){p}", 0)
+        part = F.regexp_extract(c, f"(?im){p}", 1) if "(" in p.replace("(?", "") else F.lit("")
+        found += [F.nullif(part, F.lit("")), F.nullif(whole, F.lit(""))]
+    return F.coalesce(*found)
+
+
+def table_norm(c: Column) -> Column:
+    """Lower case without accents; digits, letters a-z, points, percent signs
+    and Arabic letters, single spaces."""
+    return F.trim(F.regexp_replace(F.lower(strip_accents(c)), r"[^0-9a-z.%\x{0600}-\x{06FF}]+", " "))
+
+
+def party_norm(c: Column) -> Column:
+    """A party's name for comparison: entities and quotes resolved, then lower
+    case without accents; digits, letters a-z and Arabic letters."""
+    for old, new in (("&amp;", "&"), ("&quot;", '"'), ("&#39;", "'"), ("&lt;", "<"), ("&gt;", ">"), ("\u2019", "'"), ("\u201c", '"'), ("\u201d", '"')):
+        c = F.replace(c, F.lit(old), F.lit(new))
+    return F.trim(F.regexp_replace(F.lower(strip_accents(c)), r"[^0-9a-z\x{0600}-\x{06FF}]+", " "))
+
+
+def listed(c: Column) -> Column:
+    """A list from JSON, or from parts between semicolons, trimmed."""
+    parts = F.coalesce(F.from_json(c, "array<string>"), F.split(c, ";"))
+    return F.filter(F.transform(parts, lambda x: F.trim(x)), lambda x: x != "")

@@ -1,6 +1,6 @@
 """Registered queries and their SQL counterparts."""
 
-from . import analytics, business, decisions, fields, layout, lines, reviews, streams, texts
+from . import analytics, business, decisions, fields, layout, lines, reviews, scalars, streams, texts
 from .registry import FLAGSHIP, QUERIES, SQL
 
-__all__ = ["FLAGSHIP", "QUERIES", "SQL", "analytics", "business", "decisions", "fields", "layout", "lines", "reviews", "streams", "texts"]
+__all__ = ["FLAGSHIP", "QUERIES", "SQL", "analytics", "business", "decisions", "fields", "layout", "lines", "reviews", "scalars", "streams", "texts"]
