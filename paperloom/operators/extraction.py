@@ -10,11 +10,11 @@ from ..functions import text as T
 
 # Keywords of document types, most specific vocabulary first.
 KEYWORDS = {
-    "invoice": ("facture", "numero facture", "n facture", "total ttc", "tva", "invoice", "invoice number", "vat", "total amount", "amount due"),
-    "delivery_note": ("bon de livraison", "livraison", "quantite livree", "delivery note", "delivered quantity", "shipped"),
-    "credit_note": ("avoir", "facture d'avoir", "note de credit", "credit note", "refund", "credit memo"),
-    "receipt": ("recu", "ticket", "paiement recu", "receipt", "payment received"),
-    "purchase_order": ("bon de commande", "commande", "purchase order", "po number"),
+    "invoice": ("facture", "numero facture", "n facture", "total ttc", "tva", "invoice", "invoice number", "vat", "total amount", "amount due", "فاتورة", "رقم الفاتورة", "ضريبة", "المبلغ الجملي", "الإجمالي"),
+    "delivery_note": ("bon de livraison", "livraison", "quantite livree", "quantité livrée", "delivery note", "delivered quantity", "shipped", "وصل تسليم", "إذن تسليم", "تسليم"),
+    "credit_note": ("avoir", "facture d'avoir", "note de credit", "note de crédit", "credit note", "refund", "credit memo", "إشعار دائن", "إرجاع", "استرجاع"),
+    "receipt": ("recu", "reçu", "ticket", "paiement recu", "paiement reçu", "receipt", "payment received", "وصل", "إيصال", "وصل دفع"),
+    "purchase_order": ("bon de commande", "commande", "purchase order", "po number", "طلب شراء", "أمر شراء"),
 }
 
 
@@ -22,7 +22,7 @@ def classify(docs: DataFrame, keywords: dict = KEYWORDS) -> DataFrame:
     """doc_id, document_type, n_matched, confidence: most keywords found, ties
     to the type listed first. One pass over the text, no join."""
     plain = F.lower(T.strip_accents(F.col("text")))
-    hits = [sum(F.contains(F.col("plain"), F.lit(k)).cast("int") for k in ks).alias(t) for t, ks in keywords.items()]
+    hits = [sum(F.contains(F.col("plain"), F.lower(T.strip_accents(F.lit(k)))).cast("int") for k in ks).alias(t) for t, ks in keywords.items()]
     rows = docs.select("doc_id", F.coalesce(plain, F.lit("")).alias("plain")).select("doc_id", *hits)
     best = F.greatest(*[F.struct(F.col(t).alias("n"), F.lit(len(keywords) - i).alias("priority"), F.lit(t).alias("type")) for i, t in enumerate(keywords)])
     rows = rows.select("doc_id", best.alias("best"))
@@ -65,12 +65,18 @@ def labelled_amounts(docs: DataFrame) -> DataFrame:
     return rows.groupBy("doc_id", "label").agg(F.max_by("amount", "line_index").alias("amount"))
 
 
+#: Most items of one or two words.
+TINY = 1000
+
+
 def contained(items: DataFrame, docs: DataFrame) -> DataFrame:
     """(item_id, doc_id) where a document's text holds an item's text.
 
     A text that holds an item holds its second to fourth word whole, so three
     words in a row are an equi-join key; what meets is then checked in full.
-    Items of fewer than five words have no such key and are tried one by one.
+    A shorter item of three words or more holds its middle whole: one word is
+    the key. One or two words may stand inside longer words only; they are few
+    (their number is checked) and go with the tasks.
     """
     words = lambda c: F.filter(F.split(c, r"\s+"), lambda w: w != "")
     items = items.where("text is not null").select("item_id", F.col("text").alias("needle"), words(F.col("text")).alias("w"))
@@ -80,6 +86,15 @@ def contained(items: DataFrame, docs: DataFrame) -> DataFrame:
     keyed = docs.select("doc_id", words(F.col("text")).alias("w")).where(F.size("w") >= 3)
     keyed = keyed.select("doc_id", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(0), F.size("w") - 3), lambda i: key(F.col("w"), i)))).alias("key"))
     found = keyed.join(long, "key").select("doc_id", "item_id", "needle").join(docs, "doc_id").where(F.contains("text", "needle"))
-    short = items.where(F.size("w") < 5)
-    rest = docs.join(short, F.contains(docs["text"], short["needle"]))
-    return found.select("item_id", "doc_id").unionByName(rest.select("item_id", "doc_id"))
+    middle = items.where(F.size("w").between(3, 4)).select("item_id", "needle", F.get("w", F.lit(1)).alias("key"))
+    single = docs.select("doc_id", F.explode(F.array_distinct(words(F.col("text")))).alias("key"))
+    mid = single.join(middle, "key").select("doc_id", "item_id", "needle").join(docs, "doc_id").where(F.contains("text", "needle"))
+    out = found.select("item_id", "doc_id").unionByName(mid.select("item_id", "doc_id"))
+    tiny = items.where(F.size("w") < 3).select("item_id", "needle").limit(TINY + 1)
+    few = [tuple(r) for r in tiny.collect()]
+    if len(few) > TINY:
+        raise ValueError(f"more than {TINY} items of one or two words; match these by their own words")
+    if few:
+        hits = F.filter(F.array(*[F.struct(F.lit(i).alias("item_id"), F.lit(n).alias("needle")) for i, n in few]), lambda x: F.contains(F.col("text"), x["needle"]))
+        out = out.unionByName(docs.select(F.explode(hits).alias("x"), "doc_id").select("x.item_id", "doc_id"))
+    return out

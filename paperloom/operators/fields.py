@@ -150,7 +150,7 @@ select doc_id, page_number, kind, min(x1) as x1, min(y1) as y1, max(x2) as x2, m
     Statement("win15_top_parties", "The ten best party candidates of a document by plausibility and position.", "select doc_id, line_index, place from (select *, row_number() over (partition by doc_id order by party_plausibility desc, y1, x1, line_index) as place from $lines where is_company) r where place <= 10"),
     Statement("win17_reindexed", "Lines numbered anew after merging, first occurrence of text and place kept.",
         """with d as (select *, row_number() over (partition by doc_id, page_number, lower(t), round_half_even(x1 / 8.0e0), round_half_even(y1 / 8.0e0) order by line_index) as again from $lines) select doc_id, line_index, row_number() over (partition by doc_id order by page_number, line_index) - 1 as new_index from d where again = 1""".replace("round_half_even(", "@even(")),
-    Statement("win20_vertical_blocks", "Blocks of lines, new after a gap of more than 44.", "select doc_id, page_number, block, count(*) as n, min(line_index) as first_line from (select *, sum(jump) over (partition by doc_id, page_number order by y1, x1, line_index rows between unbounded preceding and current row) as block from (select *, case when y1 - lag(y1) over (partition by doc_id, page_number order by y1, x1, line_index) > 44 then 1 else 0 end as jump from $lines) g) b group by doc_id, page_number, block"),
+    Statement("win20_vertical_blocks", "Blocks of lines, new after a gap of more than 44.", "select doc_id, page_number, cast(block as bigint) as block, count(*) as n, min(line_index) as first_line from (select *, sum(jump) over (partition by doc_id, page_number order by y1, x1, line_index rows between unbounded preceding and current row) as block from (select *, case when y1 - lag(y1) over (partition by doc_id, page_number order by y1, x1, line_index) > 44 then 1 else 0 end as jump from $lines) g) b group by doc_id, page_number, block"),
     Statement("jon02_right_of_label", "The nearest line right of a label on its row.",
         "with p as (select l.doc_id, l.line_index, v.line_index as value_index, v.text as value, v.x1 - l.x2 as gap from $lines l join $lines v on v.doc_id = l.doc_id and v.page_number = l.page_number and v.line_index <> l.line_index where l.node_type like '%label' and abs(v.y1 - l.y1) < 25 and v.x1 >= l.x2) select doc_id, line_index, value_index, value from (select *, row_number() over (partition by doc_id, line_index order by gap, value_index) as place from p) r where place = 1"),
     Statement("jon03_below_label", "The nearest line below a label.",

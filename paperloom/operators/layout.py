@@ -54,9 +54,9 @@ select doc_id, line_index, a as x1, b as y1, case when n = 8 then e when sized =
     Statement("jon01_relations", "Relations of all fifteen kinds between lines of a page at up to 500, with their number and weight (weights are counted in whole units of squared distance).",
         f"""with p as (select a.doc_id, a.line_index as ai, b.line_index as bi, (b.x1 + b.x2 - a.x1 - a.x2) * (b.x1 + b.x2 - a.x1 - a.x2) + (b.y1 + b.y2 - a.y1 - a.y2) * (b.y1 + b.y2 - a.y1 - a.y2) as d4, {", ".join(f"cast({c} as int) as r_{n}" for n, c in RELATIONS.items())}
  from $lines a join $lines b on b.doc_id = a.doc_id and b.page_number = a.page_number and b.line_index <> a.line_index)
-select doc_id, count(*) as n_pairs, {", ".join(f"sum(r_{n}) as {n}" for n in RELATIONS)}, round(sum(floor(1000 * (1 - least(sqrt(cast(d4 as double)) / 2, 500) / 500))) / 1000, 3) as weight from p where d4 <= 1000000 or r_contains = 1 or r_same_line = 1 group by doc_id"""),
+select doc_id, count(*) as n_pairs, {", ".join(f"cast(sum(r_{n}) as bigint) as {n}" for n in RELATIONS)}, round(sum(floor(1000 * (1 - least(sqrt(cast(d4 as double)) / 2, 500) / 500))) / 1000, 3) as weight from p where d4 <= 1000000 or r_contains = 1 or r_same_line = 1 group by doc_id"""),
     Statement("win21_block_parents", "The block each line belongs to: the first by priority.", "select doc_id, line_index, case when is_total_label or is_subtotal_label or is_tax_label then 'totals' when y1 < 200 and x1 < 400 then 'supplier' when y1 < 200 then 'customer' when y1 < 560 then 'products' when y1 < 700 then 'totals' else 'footer' end as parent from $lines"),
-    Statement("ext24_tree", "The tree of a document: pages, blocks, lines and words counted on each level.", "select doc_id, page_number, case when y1 < 220 then 'header' when y1 < 560 then 'body' else 'end' end as block, count(*) as n_lines, sum(@cnt(@words(t), true)) as n_words, min(y1) as top, max(y2) as bottom from $lines group by 1, 2, 3"),
+    Statement("ext24_tree", "The tree of a document: pages, blocks, lines and words counted on each level.", "select doc_id, page_number, case when y1 < 220 then 'header' when y1 < 560 then 'body' else 'end' end as block, count(*) as n_lines, cast(sum(@cnt(@words(t), true)) as bigint) as n_words, min(y1) as top, max(y2) as bottom from $lines group by 1, 2, 3"),
     Statement("prd09_footer", "Lines that end a table: a footer's word in a short line or one with numbers.", f"select doc_id, line_index, {FOOTER} as is_table_footer from $lines"),
     Statement("prd11_row_numbers", "Cells that are a row's number: up to three digits left of the descriptions.", "select doc_id, line_index, col_name, @m(text, ~'^0?[0-9]{1,3}$') and (x1 + x2) / 2.0e0 < 140 as is_row_number from $cells"),
     Statement("prd12_looks_like", "Lines that look like a wrapped fragment, an anchor of a row, a description's start.",
@@ -74,7 +74,7 @@ select doc_id, count(*) as n_pairs, {", ".join(f"sum(r_{n}) as {n}" for n in REL
     Statement("tbl05_cells", "Cells with the column they are in and the reason.",
         "with b as (select doc_id, col_name, cast(sum(x1 + x2) as double) / (2 * count(*)) as center from $cells group by doc_id, col_name), d as (select c.doc_id, c.line_index, b.col_name, abs((c.x1 + c.x2) / 2.0e0 - b.center) as d from $cells c join b on b.doc_id = c.doc_id), r as (select *, row_number() over (partition by doc_id, line_index order by d, col_name) as place from d) select doc_id, line_index, col_name, case when d <= 40 then 'near centre' else 'nearest' end as reason from r where place = 1"),
     Statement("tbl06_logical_rows", "Logical rows: an anchor starts one, lines close below it belong to it.",
-        "with o as (select doc_id, page_number, line_index, y1, @n(t, ~'[0-9]+[.,][0-9]{2}') >= 2 as anchor, y1 - lag(y2) over (partition by doc_id, page_number order by y1, x1, line_index) as gap from $lines where y1 between 260 and 560), g as (select *, sum(case when anchor then 1 else 0 end) over (partition by doc_id, page_number order by y1, line_index rows between unbounded preceding and current row) as logical_row from o) select doc_id, line_index, logical_row, anchor, coalesce(gap <= 26, false) as continues from g"),
+        "with o as (select doc_id, page_number, line_index, y1, @n(t, ~'[0-9]+[.,][0-9]{2}') >= 2 as anchor, y1 - lag(y2) over (partition by doc_id, page_number order by y1, x1, line_index) as gap from $lines where y1 between 260 and 560), g as (select *, sum(case when anchor then 1 else 0 end) over (partition by doc_id, page_number order by y1, line_index rows between unbounded preceding and current row) as logical_row from o) select doc_id, line_index, cast(logical_row as bigint) as logical_row, anchor, coalesce(gap <= 26, false) as continues from g"),
     Statement("tbl07_parsed_rows", "Rows with derived totals and prices, warnings, status and confidence.",
         """with d as (select doc_id, row_index, description, quantity, unit_price, coalesce(line_total_ht, cast(quantity * unit_price as decimal(18,3))) as ht, coalesce(line_total_ttc, line_total_ht, cast(quantity * unit_price as decimal(18,3))) as ttc, case when unit_price is null and quantity > 0 then round(cast(line_total_ht as double) / cast(quantity as double), 3) else cast(unit_price as double) end as price from $items),
 w as (select *, @codes(case when coalesce(trim(description), '') = '' then 'DESCRIPTION_MISSING' end, case when quantity is null then 'QUANTITY_MISSING' end, case when price is null then 'UNIT_PRICE_MISSING' end, case when ht is null and ttc is null then 'LINE_TOTAL_MISSING' end, case when abs(quantity * unit_price - coalesce(ht, ttc)) > greatest(0.05, abs(coalesce(ht, ttc)) * 0.015) then 'ROW_TOTAL_MISMATCH' end) as warnings from d)
@@ -103,7 +103,7 @@ select doc_id, line_index, code, quantity, price, total, case when code <> '' th
         "with m as (select doc_id, concat('1 ', min(t), ' 2 ', max(t)) as merged from $lines where y1 between 290 and 345 group by doc_id), k as (select * from (values (1), (2)) as t(i)) select m.doc_id, k.i as row_number_found, case k.i when 1 then split_part(split_part(merged, '1 ', 2), ' 2 ', 1) else split_part(merged, ' 2 ', 2) end as description from m cross join k"),
     Statement("tbl14_numeric_alignment", "Legacy tables: cells that align with numbers of two or more rows.", "with a as (select doc_id, @even(x2 / 10.0e0) as x, count(*) as n from $cells where @m(text, ~'^[0-9.]+$') group by 1, 2) select doc_id, x, n, 42 as confidence from a where n >= 2"),
     Statement("tbl16_accounting", "How many cells of a document went where.", "select doc_id, count(*) as n_cells, count(case when text = '' then 1 end) as n_empty, count(case when @m(text, ~'^[0-9.]+$') then 1 end) as n_numeric, count(distinct col_name) as n_columns from $cells group by doc_id"),
-    Statement("win10_row_groups", "Rows grouped by anchors, with the lines before the first as prefix.", "with g as (select doc_id, line_index, sum(case when col_name = 'row' then 1 else 0 end) over (partition by doc_id order by y1, x1, line_index rows between unbounded preceding and current row) as row_group from $cells) select doc_id, row_group, count(*) as n from g group by doc_id, row_group"),
+    Statement("win10_row_groups", "Rows grouped by anchors, with the lines before the first as prefix.", "with g as (select doc_id, line_index, sum(case when col_name = 'row' then 1 else 0 end) over (partition by doc_id order by y1, x1, line_index rows between unbounded preceding and current row) as row_group from $cells) select doc_id, cast(row_group as bigint) as row_group, count(*) as n from g group by doc_id, row_group"),
     Statement("jon17_nearest_description", "The description nearest to a row that lacks one, within two rows.",
         "with m as (select doc_id, row_index from $items where description is null), c as (select m.doc_id, m.row_index, i.row_index as from_row, abs(i.row_index - m.row_index) as d, i.description from m join $items i on i.doc_id = m.doc_id and i.description is not null and abs(i.row_index - m.row_index) <= 2) select doc_id, row_index, from_row, description from (select *, row_number() over (partition by doc_id, row_index order by d, from_row) as place from c) r where place = 1"),
     Statement("jon19_recovered_totals", "Totals recovered from combinations that agree within 0.3 percent; a missing tax follows from the others.",

@@ -25,7 +25,7 @@ select field, count(*) as n, {shared("count(case when predicted = truth then 1 e
  count(case when class = 'partial' then 1 end) as n_partial, count(case when class = 'mismatch' then 1 end) as n_mismatch, count(case when class = 'unavailable' then 1 end) as n_unavailable from k group by field"""),
     Statement("agg14_ratios", "Ratios that leave nulls out.", f"select dataset_name, {rate('overall_confidence >= 0.5')} as confident, {rate('ttc_pred > 1000')} as large, count(overall_confidence) as n from $runs group by dataset_name"),
     Statement("agg15_count_quality", "Quality of row counts: exact, precision, recall.",
-        f"""select count(*) as n, {shared("count(case when count_pred = count_true then 1 end)", "count(*)")} as count_accuracy, {shared("sum(least(count_pred, count_true))", "sum(count_pred)")} as precision_, {shared("sum(least(count_pred, count_true))", "sum(count_true)")} as recall_, sum(least(count_pred, count_true)) as matched
+        f"""select count(*) as n, {shared("count(case when count_pred = count_true then 1 end)", "count(*)")} as count_accuracy, {shared("sum(least(count_pred, count_true))", "sum(count_pred)")} as precision_, {shared("sum(least(count_pred, count_true))", "sum(count_true)")} as recall_, cast(sum(least(count_pred, count_true)) as bigint) as matched
 from $runs where truth_status = 'supported' and count_true > 0"""),
     Statement("agg16_canonical_items", "Canonical quality of line items.",
         f"""select count(*) as n, {rate("(count_pred > 0) = (count_true > 0)")} as presence, {rate("count_pred = count_true")} as exact_count, {rate("abs(count_pred - count_true) <= 1")} as within_one, round(avg(cast(abs(count_pred - count_true) as double)), 3) as mae,
@@ -56,7 +56,7 @@ select d.*, row_number() over (order by ttc_rate, number_rate, dataset_name) = 1
     Statement("agg28_composition", "Composition of a run by dataset and by type, as grouping sets.", "select dataset_name, document_type, count(*) as n from $runs group by grouping sets ((dataset_name), (document_type))"),
     Statement("agg30_hybrid", "Metrics of the hybrid run: rates, latency.",
         f"""select count(*) as n, {rate("hybrid_invoked")} as invocation_rate, {rate("not hybrid_invoked")} as bypass_rate, {shared("count(case when hybrid_invoked and parser_status = 'parsed' then 1 end)", "count(case when hybrid_invoked then 1 end)")} as valid_json_rate,
- round(avg(case when hybrid_invoked then cast(seconds as double) end), 4) as mean_seconds, max(case when hybrid_invoked then seconds end) as slowest from $runs where execution_status = 'completed'"""),
+ round(avg(case when hybrid_invoked then cast(seconds as double) end), 4) as mean_seconds, cast(max(case when hybrid_invoked then seconds end) as double) as slowest from $runs where execution_status = 'completed'"""),
     Statement("agg31_truth_completeness", "Completeness of the ground truth, by document and over all.",
         f"""with d as (select document_id, @codes(case when supplier_true is null then 'supplier_name' end, case when customer_true is null then 'customer_name' end, case when number_true is null then 'invoice_number' end, case when date_true is null then 'invoice_date' end, case when count_true = 0 then 'line_items' end) as missing, document_id % 4 < 2 as verified,
  cast(supplier_true is not null as int) + cast(customer_true is not null as int) + cast(number_true is not null as int) + cast(date_true is not null as int) + cast(count_true > 0 as int) as present from $runs)
@@ -108,7 +108,7 @@ select document_id, dataset_name, place <= 12 as own_share from o where position
     Statement("smp05_difficult", "Documents by difficulty (a top-k report).",
         "select document_id, cast(case when extraction_status = 'invalid' then 3 when extraction_status = 'needs_review' then 2 else 0 end + cast(supplier_pred is null as int) * 2 + cast(ttc_pred is null as int) * 2 + case when coalesce(overall_confidence, 0) < 0.5 then 2 else 0 end + case when count_pred <> count_true then 1 else 0 end as int) as difficulty from $runs order by difficulty desc, document_id limit 50"),
     Statement("prj03_expanded_fields", "Fields as rows with provenance, and fields found by pattern.",
-        "select document_id, field, predicted as value, cast((document_id * 13 % 100) * 0.01 as decimal(4,2)) as confidence, 'selected' as provenance, length(predicted) as n_chars from $fields where predicted is not null union all select document_id, 'due_year', concat('', substr(date_pred, 1, 4)), cast(0.62 as decimal(4,2)), 'pattern', 4 from $runs where date_pred is not null"),
+        "select document_id, field, predicted as value, cast((document_id * 13 % 100) * 0.01 as double) as confidence, 'selected' as provenance, length(predicted) as n_chars from $fields where predicted is not null union all select document_id, 'due_year', concat('', substr(date_pred, 1, 4)), cast(0.62 as double), 'pattern', 4 from $runs where date_pred is not null"),
     Statement("prj07_overlay", "The validated export: fields of documents, null where rejected.",
         "select document_id, case when extraction_status <> 'invalid' then supplier_pred end as supplier, number_pred as number, case when abs(ht_pred + tva_pred - ttc_pred) <= greatest(0.05, abs(ttc_pred) * 0.002) then cast(ttc_pred as double) end as total, extraction_status <> 'valid' as review_required from $runs"),
     Statement("prj10_validation_report", "Report of a document's validation.", "select document_id, extraction_status as status, @codes(case when ttc_pred <= 0 then 'ttc_not_positive' end, case when abs(ht_pred + tva_pred - ttc_pred) > greatest(0.05, abs(ttc_pred) * 0.001) then 'mismatch' end) as errors, @codes(case when number_pred is null then 'reference' end, case when date_pred is null then 'date' end, case when currency_pred is null then 'currency' end) as warnings from $runs"),

@@ -79,24 +79,25 @@ def nearest(labels: DataFrame, values: DataFrame, allowed: Column, cost: Column)
 
 
 def bands(anchors: DataFrame, rows: DataFrame, margin: int = 8) -> DataFrame:
-    """Rows between an anchor and the next one on the page."""
-    own = Window.partitionBy(*PAGE).orderBy("y1", "line_index")
-    spans = anchors.select(*PAGE, F.col("line_index").alias("anchor"), (F.col("y1") - margin).alias("top"), (F.lead("y1").over(own) - margin).alias("bottom"))
-    inside = rows.join(spans, list(PAGE)).where("y1 >= top and (bottom is null or y1 < bottom)")
-    return inside.select(*PAGE, "anchor", "line_index")
+    """Rows between an anchor and the next one on the page: the last anchor
+    before each row in one order of both, without a range join."""
+    own = Window.partitionBy(*PAGE).orderBy("k", "kind", "anchor").rowsBetween(Window.unboundedPreceding, 0)
+    marks = anchors.select(*PAGE, (F.col("y1") - margin).alias("k"), F.lit(0).alias("kind"), F.col("line_index").alias("anchor"), F.lit(None).cast("int").alias("line_index"))
+    both = marks.unionByName(rows.select(*PAGE, F.col("y1").alias("k"), F.lit(1).alias("kind"), F.lit(None).cast("int").alias("anchor"), "line_index"))
+    return both.withColumn("anchor", F.last("anchor", ignorenulls=True).over(own)).where("kind = 1 and anchor is not null").select(*PAGE, "anchor", "line_index")
 
 
 def blocks(lines: DataFrame, zones: dict[str, Column]) -> DataFrame:
     """A block for each zone: box, joined text, mean confidence."""
     zone = F.explode(F.array_compact(F.array(*[F.when(c, F.lit(n)) for n, c in zones.items()])))
     rows = lines.select("*", zone.alias("zone"))
-    out = rows.groupBy("doc_id", "zone").agg(F.min("x1").alias("x1"), F.min("y1").alias("y1"), F.max("x2").alias("x2"), F.max("y2").alias("y2"), F.count("*").alias("n_lines"), (F.sum("confidence").cast("double") / F.count("*")).alias("confidence"), F.array_sort(F.collect_list(F.struct(F.col("y1").alias("y"), F.col("x1").alias("x"), F.col("line_index").alias("i"), "text"))).alias("parts"))
+    out = rows.groupBy(*PAGE, "zone").agg(F.min("x1").alias("x1"), F.min("y1").alias("y1"), F.max("x2").alias("x2"), F.max("y2").alias("y2"), F.count("*").alias("n_lines"), (F.sum("confidence").cast("double") / F.count("*")).alias("confidence"), F.array_sort(F.collect_list(F.struct(F.col("y1").alias("y"), F.col("x1").alias("x"), F.col("line_index").alias("i"), "text"))).alias("parts"))
     return out.withColumn("text", F.array_join(F.transform("parts", lambda p: p["text"]), " ")).drop("parts")
 
 
 def outside_blocks(lines: DataFrame, boxes: DataFrame) -> DataFrame:
-    """Lines that no box of their document holds."""
-    b = boxes.select("doc_id", *[F.col(c).alias(f"b_{c}") for c in ("x1", "y1", "x2", "y2")])
+    """Lines that no box of their page holds."""
+    b = boxes.select(*PAGE, *[F.col(c).alias(f"b_{c}") for c in ("x1", "y1", "x2", "y2")])
     l = lines.alias("l")  # noqa: E741
-    held = (F.col("l.doc_id") == b["doc_id"]) & (F.col("l.x1") >= b["b_x1"]) & (F.col("l.x2") <= b["b_x2"]) & (F.col("l.y1") >= b["b_y1"]) & (F.col("l.y2") <= b["b_y2"])
+    held = (F.col("l.doc_id") == b["doc_id"]) & (F.col("l.page_number") == b["page_number"]) & (F.col("l.x1") >= b["b_x1"]) & (F.col("l.x2") <= b["b_x2"]) & (F.col("l.y1") >= b["b_y1"]) & (F.col("l.y2") <= b["b_y2"])
     return l.join(b, held, "left_anti")

@@ -50,6 +50,17 @@ def summarize_rows(rows: DataFrame) -> DataFrame:
     )
 
 
+def line_statistics(rows: DataFrame) -> DataFrame:
+    """summarize_rows and line_totals of checked rows in one aggregation."""
+    return rows.groupBy("doc_id").agg(
+        F.coalesce(F.sum("line_total_ht"), F.lit(0)).cast("decimal(18,3)").alias("ht"),
+        F.count_distinct("tax_rate").alias("n_rates"),
+        F.count_if(F.col("row_status") == "needs_review").alias("needs_review"),
+        F.count_if(F.col("row_status") == "invalid").alias("invalid"),
+        F.round(F.sum("row_confidence").cast("double") / F.count("*"), 3).alias("validation_score"),
+    )
+
+
 def line_totals(items: DataFrame) -> DataFrame:
     """Totals of a document from its lines."""
     out = items.groupBy("doc_id").agg(F.coalesce(F.sum("line_total_ht"), F.lit(0)).cast("decimal(18,3)").alias("ht"), F.coalesce(F.sum("tax_amount"), F.lit(0)).cast("decimal(18,3)").alias("tva"), F.count_distinct("tax_rate").alias("n_rates"))
@@ -58,7 +69,7 @@ def line_totals(items: DataFrame) -> DataFrame:
 
 def check_totals(invoices: DataFrame, line_sums: DataFrame, tolerance: str = "0.05") -> DataFrame:
     """financial_status (codes), consistent, financial_score of invoices."""
-    rows = invoices.join(line_sums.select("doc_id", F.col("ht").alias("line_ht"), "n_rates"), "doc_id", "left")
+    rows = invoices.join(line_sums.withColumnRenamed("ht", "line_ht").drop("tva", "ttc"), "doc_id", "left")
     ttc_delta = F.abs(F.col("amount_ht") + F.col("tva_amount") - F.col("amount_ttc"))
     line_delta = F.abs(F.col("line_ht") - F.col("amount_ht"))
     errors = _some(totals=ttc_delta > F.greatest(money(tolerance), F.abs("amount_ttc") * money("0.005")), negative_ttc=F.col("amount_ttc") < 0, negative_vat=F.col("tva_amount") < 0)
@@ -129,39 +140,68 @@ def readiness(rows: DataFrame) -> DataFrame:
     return rows.withColumn("erp_status", F.when(rejected, "Rejected").when(review, "Needs Review").otherwise("ERP Ready"))
 
 
-def duplicate_pairs(left: DataFrame, right: DataFrame) -> DataFrame:
+DUPLICATE_KEYS = ("invoice_number", "supplier_name", "invoice_date", "customer_name", "amount_ttc")
+
+
+def _key_rows(invoices: DataFrame, least: int, exactly: bool) -> DataFrame:
+    """(doc_id, amount, kind, key): a row for each set of at least (or exactly)
+    ``least`` of the five keys that a document has. Amounts stand in cells of two
+    cents on two grids, so that amounts within a cent share a cell."""
+    from itertools import combinations
+
+    cents = F.col("amount_ttc") * 100
+    filled = [F.when(F.coalesce(F.col(n).cast("string"), F.lit("")) != "", F.col(n).cast("string")) for n in DUPLICATE_KEYS[:-1]]
+    grids = [F.concat(F.lit("0|"), F.floor(cents / 2).cast("string")), F.concat(F.lit("1|"), F.floor((cents + 1) / 2).cast("string"))]
+    options, kind = [], 0
+    for size in [least] if exactly else range(least, 6):
+        for chosen in combinations(range(5), size):
+            kind += 1
+            for grid in grids if 4 in chosen else [None]:
+                parts = [filled[i] if i < 4 else grid for i in chosen]
+                whole = parts[0].isNotNull()
+                for x in parts[1:]:
+                    whole = whole & x.isNotNull()
+                options.append(F.when(whole, F.struct(F.lit(sum(1 << i for i in chosen)).alias("kind"), F.concat_ws(chr(31), *parts).alias("key"))))
+    rows = invoices.select("doc_id", F.col("amount_ttc").alias("amount"), F.explode(F.array_compact(F.array(*options))).alias("x"))
+    return rows.select("doc_id", "amount", "x.kind", "x.key")
+
+
+def _near(kind: Column, a: Column, b: Column) -> Column:
+    return (kind.bitwiseAND(16) == 0) | (F.abs(a - b) <= money("0.01"))
+
+
+def duplicate_pairs(invoices: DataFrame) -> DataFrame:
     """Pairs of documents (a < b) that agree on two or more of five keys.
 
-    Pairs that agree on two keys agree on one of ten pairs of keys, so each
-    pair of keys is an equi join of its own and no key is joined alone; amounts
-    within 0.01 meet in neighbouring cents.
+    Pairs that agree on two keys agree on one of ten pairs of keys, so a
+    document has a row for each of these and one equi join finds all; both
+    sides are the same exchange. No key is joined alone.
     """
-    keys = {"invoice_number": F.col("invoice_number"), "supplier_name": F.col("supplier_name"), "invoice_date": F.col("invoice_date").cast("string"), "customer_name": F.col("customer_name"), "amount_ttc": F.floor(F.col("amount_ttc") * 100).cast("string")}
-    names = list(keys)
-    cells = lambda df, near: df.select(
-        F.col("doc_id"),
-        *[F.when(F.col(n).cast("string") != "", c).alias(n) for n, c in keys.items() if n != "amount_ttc"],
-        F.col("amount_ttc").alias("amount"),
-        F.explode_outer(F.array(*[(F.floor(F.col("amount_ttc") * 100) + d).cast("string") for d in near])).alias("amount_ttc"),
-    )
-    a = cells(left, (0,))
-    b = cells(right, (-1, 0, 1))
-    found = None
-    for i in range(5):
-        for j in range(i + 1, 5):
-            k, m = names[i], names[j]
-            x = a.where(F.col(k).isNotNull() & F.col(m).isNotNull()).select(F.col("doc_id").alias("a"), k, m, F.col("amount").alias("x"))
-            y = b.where(F.col(k).isNotNull() & F.col(m).isNotNull()).select(F.col("doc_id").alias("b"), k, m, F.col("amount").alias("y")).distinct()
-            both = x.join(y, [k, m]).where("a < b")
-            if "amount_ttc" in (k, m):
-                both = both.where(F.abs(F.col("x") - F.col("y")) <= money("0.01"))
-            both = both.select("a", "b", F.array(F.lit(k), F.lit(m)).alias("fields"))
-            found = both if found is None else found.unionByName(both)
-    pairs = found.groupBy("a", "b").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("fields")))).alias("fields"))
-    n = F.size("fields")
+    rows = _key_rows(invoices, 2, True)
+    x, y = (rows.select(F.col("doc_id").alias(n), "kind", "key", F.col("amount").alias(f"{n}_amount")) for n in "ab")
+    both = x.join(y, ["kind", "key"]).where((F.col("a") < F.col("b")) & _near(F.col("kind"), F.col("a_amount"), F.col("b_amount")))
+    pairs = both.groupBy("a", "b").agg(F.bit_or("kind").alias("fields"))
+    n = F.bit_count("fields")
     return pairs.select("a", "b", n.alias("n_matched"), F.least(F.lit(1.0), (45 + n * 11) / 100).alias("confidence"))
 
 
+def duplicate_degrees(invoices: DataFrame) -> DataFrame:
+    """doc_id and n_matched: the most keys that a document shares with any one
+    other. No pairs are made: cells count their documents, with the two least
+    and two greatest amounts, so a group of any size costs a row a document."""
+    rows = _key_rows(invoices, 2, False)
+    cells = rows.groupBy("kind", "key").agg(F.count("*").alias("n"), F.min("amount").alias("low"), F.max("amount").alias("high")).where("n > 1")
+    met = rows.join(cells, ["kind", "key"])
+    whole = (F.col("kind").bitwiseAND(16) == 0) | (F.col("high") - F.col("low") <= money("0.01"))
+    sure = met.where(whole).groupBy("doc_id").agg(F.max(F.bit_count("kind")).alias("n_matched"))
+    # Cells whose amounts are more than a cent apart: the neighbour by amount.
+    own = Window.partitionBy("kind", "key").orderBy("amount", "doc_id")
+    gap = F.least(F.col("amount") - F.lag("amount").over(own), F.lead("amount").over(own) - F.col("amount"))
+    open_cells = met.where(~whole).withColumn("gap", gap).where(F.col("gap") <= money("0.01"))
+    rest = open_cells.groupBy("doc_id").agg(F.max(F.bit_count("kind")).alias("n_matched"))
+    return sure.unionByName(rest).groupBy("doc_id").agg(F.max("n_matched").alias("n_matched"))
+
+
 def consistent_triples(candidates: DataFrame, least: str = "0.05", rate: str = "0.002") -> DataFrame:
     """Per document the best (ht, tva, ttc) of candidates (doc_id, field, value,
     score) whose sum fits: greatest sum of scores minus mismatch."""

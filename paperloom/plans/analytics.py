@@ -27,12 +27,6 @@ def win14_latest_attempt(spark, sf_dir):
     return E.latest_attempts(_attempts(spark, sf_dir)).select("document_id", "log_seq", "execution_status", "extraction_status", F.col("duration_seconds").cast("double").alias("duration_seconds"))
 
 
-@query(A + "select distinct document_id from attempts a where not exists (select 1 from attempts b where b.document_id = a.document_id and b.execution_status = 'completed' and b.log_seq % 4 = 0)")
-def set02_pending(spark, sf_dir):
-    rows = _attempts(spark, sf_dir)
-    return E.pending(rows.select("document_id").distinct(), rows.where("execution_status = 'completed' and log_seq % 4 = 0").select("document_id"))
-
-
 @query(A + "select distinct document_id from attempts where execution_status in ('failed', 'timeout')")
 def set02_retry(spark, sf_dir):
     rows = _attempts(spark, sf_dir)
@@ -118,16 +112,6 @@ def _coded(spark, sf_dir):
     return rows.withColumn("codes", F.array_compact(F.array(*[F.when(c, F.lit(n)) for n, c in tests.items()])))
 
 
-@query(A + CODES + "select log_seq, array_to_string(codes, ',') as codes, cast(len(codes) as integer) as n_codes from coded")
-def ftx01_failure_codes(spark, sf_dir):
-    return _coded(spark, sf_dir).select("log_seq", F.array_join("codes", ",").alias("codes"), F.size("codes").alias("n_codes"))
-
-
-@query(A + CODES + ", e as (select log_seq, unnest(codes) as c from coded) select x.c as a, y.c as b, count(*) as n from e x join e y on x.log_seq = y.log_seq and x.c < y.c group by all order by n desc, a, b limit 20")
-def agg09_code_pairs(spark, sf_dir):
-    return E.code_pairs(_coded(spark, sf_dir))
-
-
 @query(A + CODES + "select dataset_name, code, count(*) as n from (select dataset_name, unnest(codes) as code from coded) group by dataset_name, code")
 def agg09_codes_by_dataset(spark, sf_dir):
     return _coded(spark, sf_dir).select("dataset_name", F.explode("codes").alias("code")).groupBy("dataset_name", "code").agg(F.count("*").alias("n"))

@@ -18,14 +18,6 @@ def pty07_compare(spark, sf_dir):
     return M.compare_names(rows).select("c_custkey", "match_class")
 
 
-@query(with_views("line_items") + "select doc_id, row_index as predicted_index, row_index as truth_index from line_items where doc_id % 50 = 0 and description is not null and quantity is not null")
-def jon22_match_items(spark, sf_dir):
-    """Items against themselves in another order: all that are complete match."""
-    rows = load(spark, sf_dir, "line_items").where("doc_id % 50 = 0 and description is not null and quantity is not null")
-    rows = rows.select("doc_id", "row_index", F.concat_ws(" ", "description", "row_index").alias("description"), "reference", *[F.col(c).cast("double").alias(c) for c in ("quantity", "unit_price", "line_total_ht")])
-    return M.match_items(rows, rows).where("score is not null").select("doc_id", "predicted_index", "truth_index")
-
-
 @query()
 def jon22_match_all_items(spark, sf_dir):
     """Every item, nulls included, against a truth in another order that lacks

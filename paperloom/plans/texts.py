@@ -97,18 +97,18 @@ def num09_currency(spark, sf_dir):
     return load(spark, sf_dir, "nation").select("n_nationkey", N.currency(raw).alias("currency"))
 
 
-CLASSES = " union all ".join(f"select {i} as rank, '{t}' as type, '{k.replace(chr(39), chr(39) * 2)}' as k" for i, (t, ks) in enumerate(X.KEYWORDS.items()) for k in ks)
+CLASSES = " union all ".join(f"select {i} as rank, '{t}' as type, lower(strip_accents('{k.replace(chr(39), chr(39) * 2)}')) as k" for i, (t, ks) in enumerate(X.KEYWORDS.items()) for k in ks)
 
 
 @query(
     with_views("invoice_text")
-    + f", kw as ({CLASSES}), src as (select doc_id, lower(strip_accents(text)) as t from invoice_text union all select -1 - item_id, lower(text) || case when item_id % 3 = 0 then ' delivery note shipped refund' when item_id % 3 = 1 then ' po number' else '' end from benchmark), "
+    + f", kw as ({CLASSES}), src as (select doc_id, lower(strip_accents(text)) as t from invoice_text union all select -1 - item_id, lower(text) || case when item_id % 3 = 0 then ' delivery note shipped refund' when item_id % 3 = 1 then ' po number' else ' وصل دفع رقم الفاتورة' end from benchmark), "
     "h as (select doc_id, type, rank, count(*) as n from src join kw on contains(t, k) group by doc_id, type, rank), b as (select * from (select *, row_number() over (partition by doc_id order by n desc, rank) as pos from h) where pos = 1) "
     "select src.doc_id, coalesce(type, 'unknown') as document_type, cast(coalesce(n, 0) as integer) as n_matched, cast(case when n is null then 0 else least(98, 45 + n*14) end as integer) as confidence_percent from src left join b using (doc_id)"
 )
 def agg07_classify(spark, sf_dir):
     extra = load(spark, sf_dir, "benchmark")
-    tail = F.when(F.col("item_id") % 3 == 0, " delivery note shipped refund").when(F.col("item_id") % 3 == 1, " po number").otherwise("")
+    tail = F.when(F.col("item_id") % 3 == 0, " delivery note shipped refund").when(F.col("item_id") % 3 == 1, " po number").otherwise(" وصل دفع رقم الفاتورة")
     docs = load(spark, sf_dir, "invoice_text").unionByName(extra.select((-1 - F.col("item_id")).alias("doc_id"), F.concat("text", tail).alias("text")))
     return X.classify(docs)
 
@@ -185,47 +185,36 @@ def jon07_nearest_amount(spark, sf_dir):
     return S.nearest(rows.where("col_name = 'row'"), rows.where("col_name = 'total'"), F.col("v_y1") >= F.col("l_y1") - 6, cost).select("doc_id", "label_index", "value_index", "value")
 
 
-@query(L + ", s as (select doc_id, line_index as anchor, y1 - 8 as top, lead(y1) over (partition by doc_id, page_number order by y1, line_index) - 8 as bottom from ocr_lines where col_name = 'row') select s.doc_id, s.anchor, l.line_index from s join ocr_lines l on l.doc_id = s.doc_id and l.y1 >= s.top and (s.bottom is null or l.y1 < s.bottom)")
+@query(
+    L
+    + """, e as (select doc_id, page_number, y1 - 8 as k, 0 as kind, line_index as anchor, cast(null as integer) as line from ocr_lines where col_name = 'row' union all select doc_id, page_number, y1, 1, cast(null as integer), line_index from ocr_lines),
+    w as (select *, last_value(anchor ignore nulls) over (partition by doc_id, page_number order by k, kind, anchor rows between unbounded preceding and current row) as a from e) select doc_id, a as anchor, line as line_index from w where kind = 1 and a is not null"""
+)
 def jon15_bands(spark, sf_dir):
     rows = load(spark, sf_dir, "ocr_lines")
     return S.bands(rows.where("col_name = 'row'"), rows).select("doc_id", "anchor", "line_index")
 
 
-BLOCKS = L + ", z as (select *, case when x1 < 300 then 'left' else 'right' end as zone from ocr_lines) select doc_id, zone, min(x1) as x1, min(y1) as y1, max(x2) as x2, max(y2) as y2, count(*) as n_lines, cast(sum(confidence) as double)/count(*) as confidence, string_agg(text, ' ' order by y1, x1, line_index) as text from z group by doc_id, zone"
+PAGES = with_views("lines")
+BLOCKS = PAGES + ", z as (select *, case when x1 < 300 then 'left' else 'right' end as zone from lines) select doc_id, page_number, zone, min(x1) as x1, min(y1) as y1, max(x2) as x2, max(y2) as y2, count(*) as n_lines, cast(sum(confidence) as double)/count(*) as confidence, string_agg(text, ' ' order by y1, x1, line_index) as text from z group by doc_id, page_number, zone"
 
 
 @query(BLOCKS)
 def agg02_blocks(spark, sf_dir):
-    return S.blocks(load(spark, sf_dir, "ocr_lines"), {"left": F.col("x1") < 300, "right": F.col("x1") >= 300})
+    return S.blocks(load(spark, sf_dir, "lines"), {"left": F.col("x1") < 300, "right": F.col("x1") >= 300})
 
 
-@query(L + "select doc_id, line_index from ocr_lines l where not exists (select 1 from (select doc_id, min(x1) x1, min(y1) y1, max(x2) x2, max(y2) y2 from ocr_lines where col_name in ('quantity','unit_price') group by doc_id) b where b.doc_id = l.doc_id and l.x1 >= b.x1 and l.x2 <= b.x2 and l.y1 >= b.y1 and l.y2 <= b.y2)")
+@query(
+    PAGES
+    + """select doc_id, line_index from lines l where not exists (select 1 from (select doc_id, page_number, min(x1) x1, min(y1) y1, max(x2) x2, max(y2) y2 from lines where confidence >= 0.94 group by doc_id, page_number) b
+    where b.doc_id = l.doc_id and b.page_number = l.page_number and l.x1 >= b.x1 and l.x2 <= b.x2 and l.y1 >= b.y1 and l.y2 <= b.y2)"""
+)
 def jon12_outside_blocks(spark, sf_dir):
-    rows = load(spark, sf_dir, "ocr_lines")
-    boxes = rows.where(F.col("col_name").isin("quantity", "unit_price")).groupBy("doc_id").agg(F.min("x1").alias("x1"), F.min("y1").alias("y1"), F.max("x2").alias("x2"), F.max("y2").alias("y2"))
+    rows = load(spark, sf_dir, "lines")
+    boxes = rows.where("confidence >= 0.94").groupBy("doc_id", "page_number").agg(F.min("x1").alias("x1"), F.min("y1").alias("y1"), F.max("x2").alias("x2"), F.max("y2").alias("y2"))
     return S.outside_blocks(rows, boxes).select("doc_id", "line_index")
 
 
-@query("select conv_id, turn, lead(text, 1) over w as next_1, lead(text, 2) over w as next_2 from conversations window w as (partition by conv_id order by turn, role, text)")
-def win07_following_lines(spark, sf_dir):
-    own = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
-    return load(spark, sf_dir, "conversations").select("conv_id", "turn", F.lead("text", 1).over(own).alias("next_1"), F.lead("text", 2).over(own).alias("next_2"))
-
-
-@query("select conv_id, turn, text from (select *, max(case when contains(text, '?') then 1 else 0 end) over (partition by conv_id order by turn, role, text rows between 1 preceding and 1 following) as near from conversations) where near = 1")
-def win09_context(spark, sf_dir):
-    own = Window.partitionBy("conv_id").orderBy("turn", "role", "text").rowsBetween(-1, 1)
-    rows = load(spark, sf_dir, "conversations").withColumn("near", F.max(F.contains(F.col("text"), F.lit("?")).cast("int")).over(own))
-    return rows.where("near = 1").select("conv_id", "turn", "text")
-
-
-@query("select conv_id, turn from (select *, max(case when length(text) > 400 then 1 else 0 end) over (partition by conv_id order by turn, role, text rows between unbounded preceding and current row) as stopped from conversations) where stopped = 0")
-def win12_take_while(spark, sf_dir):
-    own = Window.partitionBy("conv_id").orderBy("turn", "role", "text").rowsBetween(Window.unboundedPreceding, 0)
-    rows = load(spark, sf_dir, "conversations").withColumn("stopped", F.max((F.length("text") > 400).cast("int")).over(own))
-    return rows.where("stopped = 0").select("conv_id", "turn")
-
-
 @query("select b.item_id, d.doc_id from benchmark b join documents d on contains(d.text, b.text)")
 def jon29_containment(spark, sf_dir):
     return X.contained(load(spark, sf_dir, "benchmark"), _docs(spark, sf_dir))
