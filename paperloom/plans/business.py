@@ -147,17 +147,23 @@ def erp01_readiness(spark, sf_dir):
 
 @query(
     with_views("invoices") + VAL01_SQL
-    + """select supplier_name as vendor_name, invoice_number as invoice_ref, cast(invoice_date as varchar) as invoice_date, cast(amount_ht as double) as amount_excl_tax, cast(tva_amount as double) as tax_amount,
+    + """select supplier_name as vendor_name, concat('TX', doc_id % 97) as vendor_tax_id, cast(invoice_date + interval 30 day as date)::varchar as due_date, '{"ref":"' || coalesce(invoice_number, '') || '"}' as source_payload, invoice_number as invoice_ref, cast(invoice_date as varchar) as invoice_date, cast(amount_ht as double) as amount_excl_tax, cast(tva_amount as double) as tax_amount,
     cast(amount_ttc as double) as amount_incl_tax, currency as currency_code, case when bad then 'invalid' when n_warnings > 0 then 'needs_review' else 'valid' end as validation_status from v"""
 )
 def prj02_flat_export(spark, sf_dir):
     rows = V.check_invoices(load(spark, sf_dir, "invoices"), AS_OF)
-    return rows.select(F.col("supplier_name").alias("vendor_name"), F.col("invoice_number").alias("invoice_ref"), F.col("invoice_date").cast("string").alias("invoice_date"), F.col("amount_ht").cast("double").alias("amount_excl_tax"), F.col("tva_amount").cast("double").alias("tax_amount"), F.col("amount_ttc").cast("double").alias("amount_incl_tax"), F.col("currency").alias("currency_code"), F.col("status").alias("validation_status"))
+    rows = rows.withColumns({"vendor_tax_id": F.concat(F.lit("TX"), F.col("doc_id") % 97), "due_date": F.date_add("invoice_date", 30).cast("string"), "source_payload": F.to_json(F.struct(F.coalesce("invoice_number", F.lit("")).alias("ref")))})
+    return rows.select("vendor_tax_id", "due_date", "source_payload", F.col("supplier_name").alias("vendor_name"), F.col("invoice_number").alias("invoice_ref"), F.col("invoice_date").cast("string").alias("invoice_date"), F.col("amount_ht").cast("double").alias("amount_excl_tax"), F.col("tva_amount").cast("double").alias("tax_amount"), F.col("amount_ttc").cast("double").alias("amount_incl_tax"), F.col("currency").alias("currency_code"), F.col("status").alias("validation_status"))
 
 
-@query()
+@query(
+    with_views("invoices")
+    + VAL01_SQL
+    + """select v.doc_id, supplier_name as supplier, invoice_number as number, cast(amount_ttc as double) as ttc, case when bad then 'invalid' when n_warnings > 0 then 'needs_review' else 'valid' end as status, n.n as n_items
+    from v join (select doc_id, cast(count(*) as integer) as n from line_items group by doc_id) n on n.doc_id = v.doc_id"""
+)
 def prj01_nested_document(spark, sf_dir):
-    """The nested export document of each invoice as JSON."""
+    """The nested export document of each invoice as JSON, and what stands in it."""
     items = load(spark, sf_dir, "line_items").groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("row_index", "reference", "description", "quantity", "unit_price", "line_total_ht"))).alias("line_items"))
     rows = V.check_invoices(load(spark, sf_dir, "invoices"), AS_OF).join(items, "doc_id", "left")
     document = F.struct(
@@ -169,7 +175,9 @@ def prj01_nested_document(spark, sf_dir):
         F.struct("status", "errors", "warnings").alias("validation"),
         "line_items",
     )
-    return rows.select("doc_id", F.to_json(document).alias("document"))
+    rows = rows.select("doc_id", F.to_json(document).alias("j"))
+    at = lambda path: F.get_json_object("j", path)
+    return rows.select("doc_id", at("$.supplier.name").alias("supplier"), at("$.document.number").alias("number"), at("$.amounts.ttc").cast("double").alias("ttc"), at("$.validation.status").alias("status"), F.json_array_length(at("$.line_items")).alias("n_items"))
 
 
 @query(

@@ -137,8 +137,19 @@ where (i.doc_id + k.ord) % 7 <> 0 and (k.ord <> 5 or i.row_index = 1)""",
 NEEDS = {"line_items": (), "line_items_tax": ("line_items",), "invoices": ("line_items_tax",), "attempts": (), "ocr_lines": ("line_items",), "invoice_text": ("invoices",), "page_lines": ("invoices",), "lines": ("page_lines",), "runs": ("invoices",), "field_rows": ("runs",), "proposals": ("field_rows",), "items_full": ("line_items_tax",), "candidates": ("runs",), "strategy_rows": ("items_full",)}
 
 
+_KEPT: dict[tuple[str, str], DataFrame] = {}
+
+
+def keep(spark: SparkSession, sf_dir: str, *names: str) -> None:
+    """Persist views that many queries of one session share."""
+    for name in names:
+        _KEPT[sf_dir, name] = load(spark, sf_dir, name).persist()
+
+
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table, or a view over tables."""
+    if (sf_dir, name) in _KEPT:
+        return _KEPT[sf_dir, name]
     if name not in VIEWS:
         return spark.read.parquet(f"{sf_dir}/{name}.parquet")
     sql = VIEWS[name]

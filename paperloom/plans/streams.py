@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from ..sources import records as R
+from ..sources.shared import shared_dir
 from ..streaming import attempts as ST
 from .fixtures import VIEWS, load, with_views
 from .registry import query
@@ -22,9 +23,7 @@ def _stream(spark, sf_dir):
 
 
 def _run(spark, df, mode):
-    name = "s_" + uuid.uuid4().hex
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/checkpoints"
-    return ST.run_once(df, name, mode, f"{base}/{name}")
+    return ST.run_once(df, f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}", mode)
 
 
 @query(A + "select document_id, max(log_seq) as log_seq, arg_max(execution_status, log_seq) as execution_status, count(*) as attempts from attempts group by document_id")
@@ -61,3 +60,43 @@ def src10_cache_hits(spark, sf_dir):
     rows = load(spark, sf_dir, "events")
     cache = rows.select(F.col("user_id").alias("fingerprint"), F.when(F.col("event_type").isin("view", "click"), 2).otherwise(1).alias("schema_version"), F.when(F.col("user_id") % 3 != 0, 1).alias("x1"))
     return R.cached(rows.select(F.col("user_id").alias("fingerprint")).distinct(), cache)
+
+
+LOG = "select event_id as seq, user_id as document_id, event_type as status from events"
+
+
+@query(LOG + " where event_id % 3 = 0")
+def src11_correction_log(spark, sf_dir):
+    """A log of corrections appended in two parts and read back; broken lines,
+    such as a truncated last one, are left out."""
+    folder = f"{shared_dir(spark)}/log-{uuid.uuid4().hex}"
+    rows = load(spark, sf_dir, "events").where("event_id % 3 = 0").select(F.col("event_id").alias("seq"), F.col("user_id").alias("document_id"), F.col("event_type").alias("status"))
+    R.append_log(rows.where("seq % 2 = 0"), folder)
+    R.append_log(rows.where("seq % 2 = 1"), folder)
+    spark.createDataFrame([('{"seq": 1, "docum',)], "value string").write.mode("append").text(folder)
+    return R.read_log(spark, folder, "seq long, document_id long, status string").where("seq is not null")
+
+
+@query("select c_custkey, c_name, c_mktsegment, cast(c_acctbal as double) as c_acctbal from customer")
+def src16_csv(spark, sf_dir):
+    """A table written as CSV with a header and read with its schema."""
+    folder = f"{shared_dir(spark)}/csv-{uuid.uuid4().hex}"
+    rows = load(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_mktsegment", F.col("c_acctbal").cast("double").alias("c_acctbal"))
+    rows.write.option("header", True).csv(folder)
+    return spark.read.schema(rows.schema).option("header", True).csv(folder)
+
+
+@query(with_views("invoices") + "select doc_id % 5 as dataset, count(*) as documents, cast(sum(amount_ht) as double) as amount_ht from invoices group by 1")
+def snk07_reports(spark, sf_dir):
+    """A report of each dataset, written one folder a dataset and read again."""
+    folder = f"{shared_dir(spark)}/reports-{uuid.uuid4().hex}"
+    rows = load(spark, sf_dir, "invoices").groupBy((F.col("doc_id") % 5).alias("dataset")).agg(F.count("*").alias("documents"), F.sum("amount_ht").cast("double").alias("amount_ht"))
+    rows.write.partitionBy("dataset").parquet(folder)
+    return spark.read.schema("documents long, amount_ht double, dataset long").parquet(folder)
+
+
+@query(A + "select document_id, max(log_seq) as log_seq, count(*) as attempts from attempts where execution_status = 'completed' group by document_id")
+def snk06_checkpointed(spark, sf_dir):
+    """The state of a run, replaced as a whole by each batch of its log."""
+    state = _stream(spark, sf_dir).where("execution_status = 'completed'").groupBy("document_id").agg(F.max("log_seq").alias("log_seq"), F.count("*").alias("attempts"))
+    return _run(spark, state, "complete")

@@ -32,8 +32,19 @@ def latest_state(events: DataFrame) -> DataFrame:
     return events.groupBy("document_id").agg(F.max("log_seq").alias("log_seq"), F.max_by("execution_status", "log_seq").alias("execution_status"), F.count("*").alias("attempts"))
 
 
-def run_once(df: DataFrame, name: str, mode: str, checkpoint: str) -> DataFrame:
-    """Drive a stream over all that is there and return what it holds."""
-    q = df.writeStream.outputMode(mode).format("memory").queryName(name).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def run_once(df: DataFrame, folder: str, mode: str) -> DataFrame:
+    """Drive a stream over all that is there and return what it says, from
+    tables in ``folder``: every batch of an appending stream, the last one of a
+    complete one. A batch that runs again after a failure overwrites its table."""
+    done: list[int] = []
+
+    def keep(batch: DataFrame, n: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{folder}/out/{n}")
+        done.append(n)
+
+    q = df.writeStream.outputMode(mode).foreachBatch(keep).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
     q.awaitTermination()
-    return df.sparkSession.table(name)
+    if not done:
+        return df.sparkSession.createDataFrame([], df.schema)
+    wanted = done if mode == "append" else done[-1:]
+    return df.sparkSession.read.schema(df.schema).parquet(*[f"{folder}/out/{n}" for n in sorted(set(wanted))])

@@ -8,6 +8,7 @@ import duckdb
 import pytest
 
 from paperloom import plans
+from paperloom.plans import fixtures
 
 from .conftest import SF
 
@@ -20,6 +21,15 @@ def duck():
     return c
 
 
+@pytest.fixture(scope="module", autouse=True)
+def shared_views(spark):
+    fixtures.keep(spark, SF, "line_items_tax", "invoices", "lines", "ocr_lines", "runs", "field_rows", "proposals", "candidates", "items_full", "strategy_rows")
+    yield
+    for df in fixtures._KEPT.values():
+        df.unpersist()
+    fixtures._KEPT.clear()
+
+
 def canonical(rows):
     def value(v):
         if isinstance(v, decimal.Decimal):
