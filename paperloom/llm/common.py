@@ -81,3 +81,16 @@ def texts_of(column, step: int = 256):
     for i in range(0, len(column), step):
         for text in column.slice(i, step).to_pylist():
             yield text or ""
+
+
+def give_back() -> None:
+    """Hand freed memory of a Python worker back to the system: workers live
+    on between tasks, and what one task freed would count on in the next."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)

@@ -17,7 +17,8 @@ with the model (some thousand numbers) in the task closure.
 
 Defined cases: a null or empty text scores as one without known words;
 without labels every score is 0.5 or less and nothing is predicted toxic; a
-null doc_id is not held out; texts are judged alone, so ties, repeated rows
+null doc_id is not held out; a very long text is restored word by word, long
+tokens in pieces that overlap; texts are judged alone, so ties, repeated rows
 and clashing column names change nothing; an empty table gives an empty
 result. Labels, language, source and doc_id are never inputs of a score.
 """
@@ -26,11 +27,12 @@ from __future__ import annotations
 
 import math
 import re
+import unicodedata
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, texts_of
+from .common import cut, give_back, texts_of
 
 TRAIN_ROWS = 20_000
 #: Most words in the model; a word's least rows and share of toxic rows.
@@ -43,6 +45,8 @@ MARKS = "*.-_~^'`,:;/#&%"
 COSTS = {"look": 0.7, "mark": 0.5, "mask": 4.0, "double": 0.3, "single": 0.3}
 LETTERS = "abcdefghijklmnopqrstuvwxyz"
 EDGE = 26
+#: Accented Latin letters count in the character model as their base.
+FOLD = {i: b for i in range(0xC0, 0x180) if (b := unicodedata.normalize("NFD", chr(i))[0]).isascii() and b.isalpha()}
 #: Runs of one character in a piece that is restored at once.
 LONGEST = 48
 #: Words that a worker keeps restored before it starts anew.
@@ -56,7 +60,8 @@ _STRIP = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum()) + "«»
 
 
 def trigram_counts(docs: DataFrame) -> list[int]:
-    """Counts of letter trigrams (everything else is an edge) over all texts."""
+    """Counts of letter trigrams over all texts; accents are folded, all that
+    is no Latin letter is an edge."""
 
     def run(batches):
         import numpy as np
@@ -68,6 +73,8 @@ def trigram_counts(docs: DataFrame) -> list[int]:
         total = np.zeros(27**3, np.int64)
         for batch in batches:
             for text in texts_of(batch.column(0)):
+                if not text.isascii():
+                    text = text.translate(FOLD)
                 x = place[np.frombuffer(f" {text} ".encode("utf-8", "replace"), np.uint8)]
                 total += np.bincount(x[:-2] * 729 + x[1:-1] * 27 + x[2:], minlength=27**3)
         at = np.flatnonzero(total)
@@ -125,7 +132,7 @@ class Restorer(dict):
                 for letters, extra in options:
                     x, y, total = a, b, cost + extra
                     for c in letters:
-                        z = LETTERS.find(c) % 27
+                        z = LETTERS.find(FOLD.get(ord(c), c)) % 27
                         total += costs[x * 729 + y * 27 + z]
                         x, y = y, z
                     if (x, y) not in best or best[x, y][0] > total:
@@ -215,6 +222,9 @@ def fit(docs: DataFrame, labels: DataFrame) -> dict:
                         yield batch_of()
                         counts.clear()
             yield batch_of()
+            counts.clear()
+            restore.clear()
+            give_back()
 
         return run
 
@@ -315,6 +325,8 @@ def score(docs: DataFrame, model: dict, *keep: str) -> DataFrame:
                 z = b + sum(weights[w] for w in known) + (model["any"] if known else 0.0)
                 out.append(1 / (1 + math.exp(-max(-30.0, min(30.0, z)))))
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(out, pa.float64())], [*keep, "score"])
+        del restore
+        give_back()
 
     place = keep.index("text") if "text" in keep else len(keep)
     return docs.select(*keep, *([] if "text" in keep else ["text"])).mapInArrow(run, schema)
