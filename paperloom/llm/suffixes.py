@@ -23,8 +23,10 @@ what its shards leave open is settled by digests of whole windows, with
 pre-aggregation. Texts move to candidates and to the final cut only.
 
 Defined cases: a null text is empty; a text shorter than LENGTH bytes loses
-nothing; repeated rows are repeats of each other; ties don't matter; an empty
-table gives an empty result; other columns are ignored.
+nothing; repeated rows are repeats of each other; ties don't matter; a very
+long text is read as a whole by one task, in memory proportional to it, and its
+places are dealt over shards like all others; an empty table gives an empty
+result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -35,11 +37,13 @@ from functools import cache
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, release
 from .shingles import buffers, mixed
 
 LENGTH, GRAM, BLOCK = 400, 100, 32
 HOT = 50_000
+#: A key is frequent from one of so many places on.
+OFTEN = 1000
 #: Places that a shard sorts at once.
 SHARD = 12_000
 #: Equal texts that a task remembers, to pass on one of them.
@@ -372,35 +376,54 @@ def _settled(pieces: DataFrame) -> DataFrame:
     return dealt.mapInArrow(run, "tid long, start int, stop int, open1 long, open2 long")
 
 
-def spans(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+def identity(seed: int):
+    """A hash of a text, and another one that tells whether two differ."""
+    return F.xxhash64(F.lit(seed), F.col("text")), F.xxhash64(F.lit(-seed), F.col("text"))
+
+
+def spans(docs: DataFrame) -> tuple[DataFrame, DataFrame, int]:
     """(tid, starts): runs of starts of repeated windows of each text that is
-    not repeated as a whole, and (tid, doc, copies) of every text of LENGTH
-    bytes or more. tid is a hash of the text."""
+    not repeated as a whole, (tid, doc, copies) of every text of LENGTH bytes
+    or more, and the seed of tid, a hash of the text. Two texts with one tid
+    are told apart by a second hash; then another seed is taken."""
     text = docs.select(F.coalesce(F.col("doc_id"), F.lit(0)).cast("long").alias("doc"), "text").where(F.octet_length("text") >= LENGTH)
-    text = text.withColumn("tid", F.xxhash64("text"))
-    texts = cut(text.groupBy("tid").agg(F.min("doc").alias("doc"), F.count("*").alias("copies")), "texts")
+    seed = 1
+    while True:
+        tid, check = identity(seed)
+        named = text.select("doc", tid.alias("tid"), check.alias("c"))
+        texts = cut(named.groupBy("tid").agg(F.min("doc").alias("doc"), F.count("*").alias("copies"), F.min("c").alias("low"), F.max("c").alias("high")), "texts")
+        if not texts.where("low <> high").limit(1).count():
+            break
+        release(texts)
+        seed += 1
+    text = text.withColumn("tid", identity(seed)[0])
     found = cut(_minimisers(text.select("tid", "text")), "minimisers")
     place = F.xxhash64("tid", "pos")
     keys = found.groupBy("key").agg(F.min(place).alias("a"), F.max(place).alias("b"), F.count("*").alias("n")).where("a <> b")
-    keys = keys.select("key", F.ceil(F.col("n") / HOT).cast("int").alias("parts"))
+    keys = cut(keys.select("key", "n", F.ceil(F.col("n") / HOT).cast("int").alias("parts")), "keys")
+    # A key at a thousandth of all places or more is one of a thousand at most:
+    # these go with the tasks, so none gathers its places in one task.
+    often = F.col("n") * OFTEN >= found.count()
+    kept = found.join(F.broadcast(keys.where(often)), "key").unionByName(found.join(keys.where(~often), "key"))
     salt = F.when(F.col("parts") > 1, F.pmod(F.xxhash64("tid", F.lit(7)), F.col("parts")).cast("int") + 1).otherwise(0)
-    kept = found.join(keys, "key").select("tid", F.struct("key", salt.alias("salt"), "pos", "low", "high").alias("p")).groupBy("tid").agg(F.collect_list("p").alias("places"))
+    kept = kept.select("tid", F.struct("key", salt.alias("salt"), "pos", "low", "high").alias("p")).groupBy("tid").agg(F.collect_list("p").alias("places"))
     kept = kept.join(texts.select("tid", "doc"), "tid")
     pieces = _pieces(text.join(kept, ["doc", "tid"]).select("tid", "text", "places"))
     settled = cut(_settled(pieces), "settled")
+    release(found, keys)
     closed = settled.where("open1 is null").select("tid", "start", "stop")
     still = settled.where("open1 is not null")
     where = F.xxhash64("tid", "start")
     twice = still.groupBy("open1", "open2").agg(F.min(where).alias("a"), F.max(where).alias("b")).where("a <> b").select("open1", "open2")
     closed = closed.unionByName(still.join(twice, ["open1", "open2"]).select("tid", "start", "stop"))
-    return closed.groupBy("tid").agg(F.collect_list(F.struct("start", "stop")).alias("starts")), texts
+    return closed.groupBy("tid").agg(F.collect_list(F.struct("start", "stop")).alias("starts")), texts, seed
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, removed (runs of removed bytes as (from, to)), kept."""
-    found, texts = spans(docs)
+    found, texts, seed = spans(docs)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    rows = rows.withColumn("tid", F.when(F.octet_length("text") >= LENGTH, F.xxhash64("text")))
+    rows = rows.withColumn("tid", F.when(F.octet_length("text") >= LENGTH, identity(seed)[0]))
     marks = texts.where("copies > 1").select("tid", F.lit(True).alias("whole"))
     rows = rows.join(marks.join(found, "tid", "full"), "tid", "left").select("doc_id", "text", F.coalesce("whole", F.lit(False)).alias("whole"), "starts")
 
@@ -433,7 +456,8 @@ def deduplicated(docs: DataFrame) -> DataFrame:
 
 
 def dedup_report(docs: DataFrame) -> DataFrame:
-    """The contract's view: sizes, runs and digest of what is kept."""
+    """The contract's view: sizes, runs and digest of what is kept; besides,
+    whether anything of the text repeats."""
     rows = deduplicated(docs)
     removed = F.aggregate("removed", F.lit(0).cast("long"), lambda n, x: n + x["stop"] - x["start"])
-    return rows.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+    return rows.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"), (F.size("removed") > 0).alias("has_repeats"))
