@@ -17,7 +17,8 @@ table of encoded words, so a repeated word costs a lookup.
 
 Defined cases: a null or empty text has no tokens and decodes to nothing; rows
 are encoded alone, so ties, repeated rows and clashing column names change
-nothing; a long unbroken word costs n log n.
+nothing; a long unbroken word costs n log n; an empty table gives an empty
+result.
 """
 
 from __future__ import annotations
@@ -31,11 +32,13 @@ from functools import cache
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import texts_of
+from .common import give_back, texts_of
 
 VOCABULARY = "word_bpe_49k.json"
 #: Words that a worker keeps before it starts anew, and the longest kept.
-KEPT_WORDS, KEPT_LENGTH = 400_000, 40
+KEPT_WORDS, KEPT_LENGTH = 100_000, 40
+#: Texts that a worker encodes before it passes them on.
+TEXTS = 128
 #: White space by the Unicode property.
 SPACES = "".join(map(chr, [*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
 
@@ -176,9 +179,15 @@ def encoder(name: str = VOCABULARY) -> WordBpe:
     return WordBpe(vocabulary_path(name))
 
 
+def _numbers(ids: str):
+    import numpy as np
+
+    return np.array(ids.split(), np.int32)
+
+
 def encode(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
     """doc_id, ids (array of int) and decoded text, a row a document."""
-    return _mapped(docs, vocabulary, "doc_id long, ids array<int>, decoded string", lambda bpe, ids, dec: (list(map(int, ids.split())), dec))
+    return _mapped(docs, vocabulary, "doc_id long, ids array<int>, decoded string", lambda bpe, ids, dec: (_numbers(ids), dec))
 
 
 def encode_report(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
@@ -199,9 +208,13 @@ def _mapped(docs: DataFrame, vocabulary: str, schema: str, row) -> DataFrame:
 
         bpe = encoder(vocabulary)
         for batch in batches:
-            got = [row(bpe, *bpe.encoded(t)) for t in texts_of(batch.column(1))]
-            cols = list(zip(*got)) if got else [[] for _ in names[1:]]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(list(c), type=t) for c, t in zip(cols, types())]], names)
+            # Few texts at a time: what a task holds doesn't grow with the batch.
+            for i in range(0, batch.num_rows, TEXTS):
+                few = batch.slice(i, TEXTS)
+                cols = list(zip(*[row(bpe, *bpe.encoded(t)) for t in texts_of(few.column(1))]))
+                yield pa.RecordBatch.from_arrays([few.column(0), *[pa.array(list(c), type=t) for c, t in zip(cols, types())]], names)
+        bpe.clear()
+        give_back()
 
     def types():
         import pyarrow as pa
