@@ -66,6 +66,12 @@ def release(*tables: DataFrame | None) -> None:
             folder.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(folder, True)
 
 
+def tidy_driver(spark: SparkSession) -> None:
+    """Let the driver drop plans and broadcasts of steps that are over; many
+    steps in one session would otherwise hold its memory at its most."""
+    spark._jvm.java.lang.System.gc()
+
+
 def let(value: Column, body) -> Column:
     """``body(value)`` with ``value`` evaluated once, also inside lambdas."""
     return F.transform(F.array(value), body)[0]

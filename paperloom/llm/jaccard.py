@@ -39,13 +39,12 @@ an empty table gives an empty result; other columns are ignored.
 
 from __future__ import annotations
 
-import hashlib
 from functools import cache
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, release
+from .common import cut, give_back, release, tidy_driver
 from .components import components
 from .shingles import chunks, mixed, sets
 
@@ -60,8 +59,10 @@ LOCAL = 2048
 TURNS = 2
 #: Open pairs a member of a region that are compared one by one.
 PAIRS = 4
+#: Texts that are compared in one task, and most whose regions are united.
+GROUP, CLUSTER = 512, 20_000
 #: Regions that a task packs at once, and that a part holds.
-BUFFER, PART = 2_000_000, 2_000_000
+BUFFER, PART = 1_000_000, 1_000_000
 #: Copies of a text that a task remembers, to pass on one of them.
 REMEMBERED = 500_000
 
@@ -217,8 +218,10 @@ def _regions(rows: DataFrame, width: int, seed: int, p: int, q: int, level: int,
             held.clear()
             size, turns = 0, turns + 1
             key = ((cell >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)) << np.uint64(32) | cell & np.uint64(0xFFFFFFFF)
+            del cell
             order = np.argsort(key)
             key, of = key[order], of[order]
+            del order
             place = np.arange(len(key)) - np.maximum.accumulate(np.where(np.concatenate([[True], key[1:] != key[:-1]]), np.arange(len(key)), 0))
             over = place > CELL
             out = []
@@ -255,8 +258,10 @@ def _regions(rows: DataFrame, width: int, seed: int, p: int, q: int, level: int,
                     size += len(cell)
                     if size >= BUFFER:
                         yield from flush()
+                        give_back()
         if held:
             yield from flush()
+        give_back()
 
     return rows.mapInArrow(run, "part int, kind int, cells binary, ids binary")
 
@@ -305,10 +310,13 @@ def _candidates(regions: DataFrame, short: int) -> DataFrame:
                 if part != now and held:
                     yield from solve(now, held)
                     held = []
+                    give_back()
                 now = part
                 held.append((kind, cells, ids))
         if held:
             yield from solve(now, held)
+        held.clear()
+        give_back()
 
     dealt = regions.repartition("part").sortWithinPartitions("part")
     return dealt.mapInArrow(run, "cell long, a long, b long")
@@ -337,33 +345,76 @@ def _near(pairs: DataFrame, sets_of: DataFrame, key: str, p: int, q: int) -> Dat
     return rows.select("a", "b", "sa", "sb", (F.col("na") + F.col("nb")).alias("most")).mapInArrow(run, "a long, b long")
 
 
-def _compared(pairs: DataFrame, texts: DataFrame, width: int, seed: int) -> DataFrame:
-    """(a, b, shared, whole): sizes of intersection and union of each pair."""
-
-    def run(batches):
+def _grouped(pairs: DataFrame) -> DataFrame:
+    """``pairs`` (a, b) with the group ``g`` in which they are compared. Texts
+    with one least neighbour meet in one group, small ones several to a group,
+    large ones in blocks of ``GROUP`` against blocks, so that a text moves once
+    for each block that it meets and not for each pair."""
+    n_pairs = pairs.count()
+    if n_pairs <= GROUP:
+        return pairs.select(F.lit(0).cast("long").alias("g"), "a", "b")
+    near = pairs.select("a", "b").union(pairs.select("b", "a"))
+    hub = near.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("m")).select("id", F.least("id", "m").alias("hub"))
+    of = pairs.join(hub.withColumnRenamed("id", "b"), "b")
+    # The number of texts only sizes the blocks, so an estimate will do.
+    sizes = of.groupBy("hub").agg(F.count("*").alias("pairs"), F.approx_count_distinct("a").alias("texts"))
+    n = F.ceil((F.col("texts") + 1) / GROUP)
+    i, j = (F.pmod(F.xxhash64(c, F.lit(5)), n) for c in ("a", "b"))
+    own = F.xxhash64("hub", i, j)
+    packs = max(1, n_pairs // (4 * GROUP))
+    out = of.join(sizes, "hub").select(F.when(F.col("pairs") > 4 * GROUP, own).otherwise(F.pmod(F.xxhash64("hub"), F.lit(packs))).alias("g"), "a", "b")
+    return cut(out, "grouped")
+
+
+def _compared(pairs: DataFrame, texts: DataFrame, width: int, seed: int, p: int, q: int, links: bool) -> DataFrame:
+    """(a, b, shared, whole): sizes of intersection and union of pairs grouped
+    by ``g``; with ``links`` only of those that link two texts which the links
+    found in the group before don't connect."""
+
+    def run(left, right):
         import numpy as np
         import pyarrow as pa
 
-        for batch in batches:
-            done = []
-            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-                raw = np.frombuffer((x + y).encode("utf-8", "surrogatepass"), np.uint8)
-                cut_at = len(x.encode("utf-8", "surrogatepass"))
-                flat, to = sets(raw, np.array([0, cut_at, len(raw)]), width, seed)
-                both = len(np.intersect1d(flat[: to[1]], flat[to[1] :], assume_unique=True))
-                done.append((both, len(flat) - both))
-            shared, whole = zip(*done) if done else ((), ())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(list(shared), pa.int64()), pa.array(list(whole), pa.int64())], ["a", "b", "shared", "whole"])
+        names = ["a", "b", "shared", "whole"]
+        if not left.num_rows or not right.num_rows:
+            return pa.table({n: pa.array([], pa.int64()) for n in names})
+        right = right.combine_chunks()
+        at, parts = {x: i for i, x in enumerate(right["id"].to_pylist())}, []
+        for _, raw, to in chunks(right["text"].chunk(0)):
+            flat, ends = sets(raw, to, width, seed)
+            parts += [flat[s:e] for s, e in zip(ends[:-1].tolist(), ends[1:].tolist())]
+        root = list(range(len(parts)))
+
+        def find(x):
+            while root[x] != x:
+                root[x] = root[root[x]]
+                x = root[x]
+            return x
+
+        done = []
+        for a, b in zip(left["a"].to_pylist(), left["b"].to_pylist()):
+            if a not in at or b not in at:
+                continue
+            i, j = at[a], at[b]
+            if links and find(i) == find(j):
+                continue
+            both = len(np.intersect1d(parts[i], parts[j], assume_unique=True))
+            whole = len(parts[i]) + len(parts[j]) - both
+            if not links or both * q >= whole * p:
+                done.append((a, b, both, whole))
+                root[find(i)] = find(j)
+        cols = zip(*done) if done else ((), (), (), ())
+        return pa.table({n: pa.array(list(c), pa.int64()) for n, c in zip(names, cols)})
 
-    left, right = texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), texts.select(F.col("id").alias("b"), F.col("text").alias("tb"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long, shared long, whole long")
+    members = pairs.select("g", F.explode(F.array("a", "b")).alias("id")).distinct().join(texts, "id").select("g", "id", "text")
+    asked = pairs.select(F.col("g").alias("h"), "a", "b")
+    return asked.groupBy("h").cogroup(members.groupBy("g")).applyInArrow(run, "a long, b long, shared long, whole long")
 
 
 def _paired(rows: DataFrame, p: int, q: int) -> DataFrame:
-    """(cell, a, b, same) for regions of (cell, id, root, n, sketch): pairs of
+    """(cell, a, b) for regions of (cell, id, root, n, sketch): pairs of
     two components whose sizes and sketches allow a link. A region with more
-    than ``PAIRS`` of them a member gives its members instead, without b, and
-    in ``same`` a digest of all of them."""
+    than ``PAIRS`` of them a member gives its members instead, without b."""
 
     def run(table):
         import numpy as np
@@ -384,20 +435,20 @@ def _paired(rows: DataFrame, p: int, q: int) -> DataFrame:
                 if total <= PAIRS * rows:
                     found.append((np.full(len(at), ids[i]), ids[at]))
         if total > PAIRS * rows:
-            a, b = np.sort(ids[member]), pa.nulls(int(member.sum()), pa.int64())
-            same = pa.array(np.full(len(a), int.from_bytes(hashlib.blake2b(a.tobytes(), digest_size=8).digest(), "big", signed=True)))
+            a, b = ids[member], pa.nulls(int(member.sum()), pa.int64())
         else:
             a, b = (np.concatenate(x) for x in zip(*found)) if found else (ids[:0], ids[:0])
-            a, b, same = np.maximum(a, b), pa.array(np.minimum(a, b)), pa.nulls(len(a), pa.int64())
-        return pa.table({"cell": pa.array(np.full(len(a), table["cell"][0].as_py())), "a": pa.array(a), "b": b, "same": same})
+            a, b = np.maximum(a, b), pa.array(np.minimum(a, b))
+        return pa.table({"cell": pa.array(np.full(len(a), table["cell"][0].as_py())), "a": pa.array(a), "b": b})
 
-    return rows.groupBy("cell").applyInArrow(run, "cell long, a long, b long, same long")
+    return rows.groupBy("cell").applyInArrow(run, "cell long, a long, b long")
 
 
 def _solved(rows: DataFrame, width: int, seed: int, p: int, q: int) -> DataFrame:
-    """Links (u, v) inside regions of (cell, id, root, text) that join two
-    components: members by members of other components, size and sketch first,
-    sets after, until one component is left or all are compared."""
+    """Links (u, v) inside regions of (cell, id, root, side, text) that join two
+    components: members by members of other components (and, where the region
+    has two sides, of the other side), size and sketch first, sets after, until
+    one component is left or all are compared."""
 
     def run(table):
         import numpy as np
@@ -412,11 +463,15 @@ def _solved(rows: DataFrame, width: int, seed: int, p: int, q: int) -> DataFrame
         sketch = np.stack([np.minimum(np.bincount((x & np.uint64(SKETCH - 1)).astype(np.int64), minlength=SKETCH), 255) for x in parts]).astype(np.int16)
         root = np.unique(table["root"].to_numpy(), return_inverse=True)[1]
         sizes = np.bincount(root)
+        side = table["side"].to_numpy()
+        two = side.min() != side.max()
         found = []
         for i in np.argsort(sizes[root], kind="stable").tolist():
             if sizes[root[i]] == len(ids):
                 break
             near = (root != root[i]) & (np.minimum(n, n[i]) * q >= np.maximum(n, n[i]) * p)
+            if two:
+                near &= side != side[i]
             at = np.flatnonzero(near)
             at = at[np.abs(sketch[at] - sketch[i]).sum(1, dtype=np.int64) * (q + p) <= (n[at] + n[i]) * (q - p)]
             for j in at.tolist():
@@ -434,6 +489,23 @@ def _solved(rows: DataFrame, width: int, seed: int, p: int, q: int) -> DataFrame
     return rows.groupBy("cell").applyInArrow(run, "u long, v long")
 
 
+def _blocks(dense: DataFrame) -> DataFrame:
+    """(cell, id, side) for regions of (cell, id): regions that overlap become
+    one, in blocks against blocks; where more than ``CLUSTER`` texts hang
+    together the regions stay as they are."""
+    least = dense.groupBy("cell").agg(F.min("id").alias("v"))
+    root = components(dense.join(least, "cell").select(F.col("id").alias("u"), "v"))
+    whole = dense.select("id").distinct().join(root.select(F.col("u").alias("id"), F.col("v").alias("root")), "id", "left").withColumn("root", F.coalesce("root", "id"))
+    sizes = whole.groupBy("root").agg(F.count("*").alias("size"))
+    member = cut(whole.join(sizes, "root"), "member")
+    n = F.ceil(F.col("size") / GROUP).cast("int")
+    own = F.pmod(F.xxhash64("id", F.lit(5)), n).cast("int")
+    met = member.where(F.col("size") <= CLUSTER).select("id", "root", own.alias("i"), F.explode(F.sequence(F.lit(0), n - 1)).alias("j"))
+    met = met.select(F.xxhash64("root", F.least("i", "j"), F.greatest("i", "j")).alias("cell"), "id", (F.col("i") > F.col("j")).cast("int").alias("side"))
+    rest = dense.join(member.where(F.col("size") > CLUSTER).select("id"), "id").select("cell", "id", F.lit(0).alias("side"))
+    return met.unionByName(rest)
+
+
 def _texts(docs: DataFrame, ids: DataFrame, sets_of: DataFrame, width: int, seed: int) -> DataFrame:
     """(id, text): one text for each set in ``ids``."""
 
@@ -481,12 +553,18 @@ def join(docs: DataFrame, width: int = 5, p: int = 8, q: int = 10) -> DataFrame:
         return pairs.join(of("a"), "a", "left").join(of("b"), "b", "left").where("coalesce(a_root, a) <> coalesce(b_root, b)").drop("a_root", "b_root")
 
     def linked(pairs: DataFrame, name: str) -> DataFrame:
-        done = _compared(pairs, texts, width, seed)
-        return cut(done.where(F.col("shared") * q >= F.col("whole") * p).select(F.col("a").alias("u"), F.col("b").alias("v")), name)
+        open_ones = cut(pairs.select("a", "b"), "pairs")
+        grouped = _grouped(open_ones)
+        out = cut(_compared(grouped, texts, width, seed, p, q, True).select(F.col("a").alias("u"), F.col("b").alias("v")), name)
+        release(open_ones, grouped)
+        return out
 
     def add(more: DataFrame) -> None:
         """Takes a table of links into the links and components."""
         nonlocal links, comp
+        if comp is not None and not more.limit(1).count():
+            release(more)
+            return
         before, old = links, comp
         links = more if links is None else cut(links.union(more), "links")
         comp = components(links if old is None else more.union(old))
@@ -527,7 +605,11 @@ def join(docs: DataFrame, width: int = 5, p: int = 8, q: int = 10) -> DataFrame:
                 largest = members.join(sizes, "cell").groupBy("a").agg(F.max(F.struct("n", "cell")).alias("x")).select("x.cell").distinct()
                 now = cut(members.join(largest, "cell"), "now")
             waiting, turn = cut(members.join(now.select("cell").distinct(), "cell", "left_anti"), "waiting"), turn + 1
-            far = cut(_compared(now.select("a", "b").distinct(), texts, width, seed), "distances")
+            tidy_driver(spark)
+            asked = cut(now.select("a", "b").distinct(), "asked")
+            grouped = _grouped(asked)
+            far = cut(_compared(grouped, texts, width, seed, p, q, False), "distances")
+            release(asked, grouped)
             far_of = now.join(far.withColumn("d", 1 - F.col("shared") / F.col("whole")), ["a", "b"])
             border = far_of.where(F.col("d") > radius + 1e-12).groupBy("cell").agg(F.min("d").alias("border"))
             kept = cut(far_of.join(border, "cell").where(F.col("d") >= F.least(F.col("border") - radius, F.lit(radius)) - 1e-9).select("cell", F.col("a").alias("id")), "kept")
@@ -542,11 +624,12 @@ def join(docs: DataFrame, width: int = 5, p: int = 8, q: int = 10) -> DataFrame:
             rooted = lambda rows: rows.join(comp.select(F.col("u").alias("id"), F.col("v").alias("root")), "id", "left").withColumn("root", F.coalesce("root", "id"))
             open_pairs = cut(_paired(rooted(small.join(sets_of.select("id", "n", "sketch"), "id")).select("cell", "id", "root", "n", "sketch"), p, q), "open")
             add(linked(differing(open_pairs.where("b is not null").select("a", "b").distinct()), "settled"))
-            # Regions with the same open members are one.
-            dense = open_pairs.where("b is null")
-            dense = dense.join(dense.groupBy("same").agg(F.min("cell").alias("cell")).select("cell"), "cell").select("cell", F.col("a").alias("id"))
+            dense = cut(open_pairs.where("b is null").select("cell", F.col("a").alias("id")), "dense")
             if dense.limit(1).count():
-                add(cut(_solved(rooted(dense.join(texts, "id")).select("cell", "id", "root", "text"), width, seed, p, q), "solved"))
+                blocks = cut(_blocks(dense), "blocks")
+                add(cut(_solved(rooted(blocks.join(texts, "id")).select("cell", "id", "root", "side", "text"), width, seed, p, q), "solved"))
+                release(blocks)
+            release(dense)
             release(open_pairs)
             more = cut(kept.join(large, "cell").select("cell", "id"), "more")
             release(kept)
@@ -564,6 +647,7 @@ def join(docs: DataFrame, width: int = 5, p: int = 8, q: int = 10) -> DataFrame:
         rows, level = cut(again.join(texts, "id").select(F.col("cell").alias("space"), "text"), "rows"), level + 1
         release(again)
     release(texts, links)
+    tidy_driver(spark)
     least = sets_of.select("id", "doc").join(comp.select(F.col("u").alias("id"), "v"), "id", "left").select("id", "doc", F.coalesce("v", "id").alias("root"))
     roots = least.groupBy("root").agg(F.min("doc").alias("component"))
     of_set = least.join(roots, "root").select("id", "component")

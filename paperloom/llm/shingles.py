@@ -12,7 +12,7 @@ from __future__ import annotations
 from functools import cache
 
 #: Bytes that are hashed at once (one longer text still goes alone).
-CHUNK = 1 << 21
+CHUNK = 1 << 20
 
 
 def mixed(x):
