@@ -89,6 +89,9 @@ select doc_id, line_index, found[@base] as amount_ht, found[@base + 1] as tva_am
 p as (select l.doc_id, l.line_index, v.d as value, abs(v.y1 - l.y1) + greatest(0, v.x1 - l.x2) * 0.3e0 as cost, v.i as vi from o l join o v on v.doc_id = l.doc_id and v.page_number = l.page_number and v.i between l.i + 1 and l.i + 7
  where ({DUE.replace('is_due_context', 'l.is_due_context').replace('bare', 'l.bare')} or l.is_invoice_label) and l.d is null and v.d is not null and (abs(v.x1 - l.x1) < 160 or (v.x1 >= l.x1 - 20 and v.y1 >= l.y1 - 10)))
 select doc_id, line_index, value, cost from (select *, row_number() over (partition by doc_id, line_index order by cost, vi) as place from p) q where place = 1"""),
+    Statement("ext07_spatial_dates", "Dates beside or near their label, with the scores of either.",
+        f"""select doc_id, line_index, case when {DUE} then 'due_date' else 'invoice_date' end as field, {first('bare', DATE)} as value, case when {DUE} then 88 else 90 end as score from $lines where ({DUE} or {DATED}) and {first('bare', DATE)} is not null
+union all select l.doc_id, l.line_index, 'due_date', {first('v.bare', DATE)}, 87 from $lines l join $lines v on v.doc_id = l.doc_id and v.page_number = l.page_number and v.line_index = l.line_index + 1 where l.is_due_label and {first('l.bare', DATE)} is null and {first('v.bare', DATE)} is not null"""),
     Statement("jon09_party_window", "The first lines below a party label in its column, up to the next label or total (fourteen at most, as the rule says).",
         """with l as (select *, (x1 + x2) / 2.0e0 as c, row_number() over (partition by doc_id, case when is_customer_label then 1 else 0 end order by page_number, y1, x1) as nth from $lines), m as (select doc_id, page_number, max(x2) as max_x from $lines group by doc_id, page_number),
 w as (select a.doc_id, a.line_index as label_index, b.line_index, b.text, b.y1, b.x1, case when b.is_customer_label or b.is_supplier_label or contains(b.bare, 'invoice') or contains(b.bare, 'facture') or contains(b.bare, 'total') then 1 else 0 end as stops

@@ -124,4 +124,10 @@ select a.code as first_code, b.code as second_code, count(*) as n from c a join
     Statement("run01_attempts", "Attempts numbered, back-filled and marked as fresh.",
         """with o as (select document_id, log_seq, execution_status, coalesce(nullif(extraction_status, 'unavailable'), case when execution_status = 'completed' then 'invalid' else 'unavailable' end) as extraction_status, disk_cache_hit, duration_seconds, row_number() over (partition by document_id order by log_seq) as attempt, lag(log_seq) over (partition by document_id order by log_seq) as previous, lag(execution_status) over (partition by document_id order by log_seq) as previous_status from $attempts)
 select document_id, log_seq, attempt, previous, coalesce(previous_status, 'none') as previous_status, attempt > 1 as is_retry, not disk_cache_hit and execution_status = 'completed' and duration_seconds > 0 as fresh, extraction_status from o"""),
+    Statement("agg11_percentiles", "Percentiles by the rounded index on sorted values, and by linear interpolation's two neighbours.",
+        """with o as (select dataset_name, seconds, row_number() over (partition by dataset_name order by seconds, document_id) as place, count(*) over (partition by dataset_name) as n from $runs)
+select dataset_name, cast(max(case when place = @even(0.5e0 * (n - 1)) + 1 then seconds end) as double) as median, cast(max(case when place = @even(0.9e0 * (n - 1)) + 1 then seconds end) as double) as p90, cast(max(case when place = floor(0.9e0 * (n - 1)) + 1 then seconds end) as double) as below, cast(max(case when place = ceil(0.9e0 * (n - 1)) + 1 then seconds end) as double) as above from o group by dataset_name"""),
+    Statement("src13_discovery", "Documents of a listing: the top folder is the dataset, other suffixes drop out, in order.",
+        f"select document_id, split_part(path, '/', 1) as dataset, path, row_number() over (partition by split_part(path, '/', 1) order by path, document_id) as place from (select document_id, concat(relative_path, case when document_id % 5 = 0 then '.bak' else '' end) as path from $runs) p where @m(lower(path), {rx('[.](?:pdf|png|jpg|jpeg|tif|tiff|bmp)$')})"),
+    Statement("snk03_appended", "Corrections appended to a log: every accepted one once, in order.", "select document_id, field, proposed as corrected, row_number() over (partition by document_id order by field) as seq from $proposals where accepted and proposed is not null"),
 ]

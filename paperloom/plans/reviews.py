@@ -100,3 +100,33 @@ def llm02_evidence(spark, sf_dir):
     order = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
     lines = load(spark, sf_dir, "conversations").select(F.col("conv_id").alias("doc_id"), F.row_number().over(order).alias("line_index"), "text")
     return R.evidence_lines(lines, F.length("text") > 200, 1500).select("doc_id", "line_index", "chars")
+
+
+def _name_pairs(spark, sf_dir):
+    name, k = F.col("c_name"), F.col("c_custkey") % 4
+    other = F.when(k == 0, F.upper(name)).when(k == 1, F.concat(name, F.lit(" Trading"))).when(k == 2, F.reverse(name))
+    return load(spark, sf_dir, "customer").select("c_custkey", F.lower(name).alias("predicted"), F.lower(other).alias("truth"))
+
+
+@query()
+def sim01_ratios(spark, sf_dir):
+    """Token-set, token-sort and character ratios of names; matching blocks
+    have no SQL, tests hold them against the standard library."""
+    return M.ratios(_name_pairs(spark, sf_dir), "predicted", "truth")
+
+
+@query("select c_custkey, c_custkey % 4 = 0 as similar from customer where c_custkey % 4 in (0, 3)")
+def sim02_similar_names(spark, sf_dir):
+    """Names whose character ratio is 85 or more (equal ones and missing ones,
+    for which the answer is known)."""
+    rows = M.ratios(_name_pairs(spark, sf_dir), "predicted", "truth").where("c_custkey % 4 in (0, 3)")
+    return rows.select("c_custkey", (F.col("characters") >= 85).alias("similar"))
+
+
+@query()
+def jon21_scored_items(spark, sf_dir):
+    """Predicted against true line items at 0.45, one to one by greatest score;
+    greedy matching has no affordable SQL, tests hold it against brute force."""
+    rows = load(spark, sf_dir, "line_items")
+    truth = rows.where("(doc_id + row_index) % 5 <> 0").withColumn("row_index", 100 - F.col("row_index"))
+    return M.match_items(rows, truth, least=0.45)
