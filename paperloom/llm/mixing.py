@@ -118,7 +118,7 @@ def mix(docs: DataFrame, weights=WEIGHTS, max_repeats: int = MAX_REPEATS) -> Dat
         F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("mix_key"),
         F.coalesce("source", F.lit("")).alias("mix_source"),
         F.struct("size", "cum").alias("mix_order"),
-        F.explode(F.transform(F.sequence(F.lit(0), F.col("repeats").cast("int") - 1), lambda e: (F.col("cum") + e * F.col("source_size")) / F.col("target"))).alias("finish"),
+        F.explode(F.transform(F.sequence(F.lit(0), F.col("repeats").cast("int") - 1), lambda e: F.coalesce(F.try_divide(F.col("cum") + e * F.col("source_size"), F.col("target")), F.lit(0)))).alias("finish"),
     )
     turns = turns.withColumn("mix_size", F.col("mix_order.size"))
     texts = docs.select(
