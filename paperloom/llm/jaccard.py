@@ -622,7 +622,11 @@ def join(docs: DataFrame, width: int = 5, p: int = 8, q: int = 10) -> DataFrame:
             # or to regions with very many of these.
             small = kept.join(large, "cell", "left_anti")
             rooted = lambda rows: rows.join(comp.select(F.col("u").alias("id"), F.col("v").alias("root")), "id", "left").withColumn("root", F.coalesce("root", "id"))
-            open_pairs = cut(_paired(rooted(small.join(sets_of.select("id", "n", "sketch"), "id")).select("cell", "id", "root", "n", "sketch"), p, q), "open")
+            # Regions that the balls have joined into one component are settled.
+            within = cut(rooted(small), "within")
+            parted = within.groupBy("cell").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("cell")
+            open_pairs = cut(_paired(within.join(parted, "cell").join(sets_of.select("id", "n", "sketch"), "id").select("cell", "id", "root", "n", "sketch"), p, q), "open")
+            release(within)
             add(linked(differing(open_pairs.where("b is not null").select("a", "b").distinct()), "settled"))
             dense = cut(open_pairs.where("b is null").select("cell", F.col("a").alias("id")), "dense")
             if dense.limit(1).count():
