@@ -38,6 +38,7 @@ TRAIN_ROWS = 20_000
 #: Most words in the model; a word's least rows and share of toxic rows.
 MOST_WORDS, LEAST_ROWS, LEAST_SHARE, LEAST_PRECISION, MOST_CANDIDATES = 400, 8, 0.01, 0.8, 50_000
 SHORTEST, LONGEST_PART = 3, 9
+CLEAN_COST = 4
 THRESHOLD = 0.7
 #: What a character may stand for besides itself, with the cost of it.
 LOOKS = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "€": "e", "£": "l"}
@@ -265,8 +266,8 @@ def parts(words: set[str]) -> set[str]:
 
 
 def _chosen(toxic: dict, clean: dict) -> dict:
-    """Precise parts by toxic rows, each as long as it loses no row, none in
-    another. One that must begin a word counts only if it isn't precise
+    """Precise parts by toxic rows less those of clean rows, which cost
+    ``CLEAN_COST`` each, every part as long as it loses no row, none in another. One that must begin a word counts only if it isn't precise
     elsewhere."""
     good = {x for x, n in toxic.items() if n >= LEAST_PRECISION * (n + clean.get(x, 0))}
     # Given the same part elsewhere, one that begins a word only rules out others
@@ -277,7 +278,7 @@ def _chosen(toxic: dict, clean: dict) -> dict:
         for i in range(1 if x in twins else len(x)):
             shorter.update(y for k in range(i + SHORTEST, len(x) + 1) if (y := x[i:k]) != x and toxic.get(y) == toxic[x])
     out: dict = {}
-    for x in sorted(good - twins - shorter, key=lambda x: (-toxic[x], x)):
+    for x in sorted(good - twins - shorter, key=lambda x: (CLEAN_COST * clean.get(x, 0) - toxic[x], x)):
         if not any(x in y or y in x for y in out):
             out[x] = len(out)
         if len(out) == MOST_WORDS:
