@@ -32,11 +32,11 @@ from functools import cache
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import give_back, texts_of
+from .common import CACHES, texts_of
 
 VOCABULARY = "word_bpe_49k.json"
 #: Words that a worker keeps before it starts anew, and the longest kept.
-KEPT_WORDS, KEPT_LENGTH = 100_000, 40
+KEPT_WORDS, KEPT_LENGTH = 400_000, 40
 #: Texts that a worker encodes before it passes them on.
 TEXTS = 128
 #: White space by the Unicode property.
@@ -176,7 +176,9 @@ def vocabulary_path(name: str) -> str:
 
 @cache
 def encoder(name: str = VOCABULARY) -> WordBpe:
-    return WordBpe(vocabulary_path(name))
+    found = WordBpe(vocabulary_path(name))
+    CACHES.append(found.clear)
+    return found
 
 
 def _numbers(ids: str):
@@ -213,8 +215,6 @@ def _mapped(docs: DataFrame, vocabulary: str, schema: str, row) -> DataFrame:
                 few = batch.slice(i, TEXTS)
                 cols = list(zip(*[row(bpe, *bpe.encoded(t)) for t in texts_of(few.column(1))]))
                 yield pa.RecordBatch.from_arrays([few.column(0), *[pa.array(list(c), type=t) for c, t in zip(cols, types())]], names)
-        bpe.clear()
-        give_back()
 
     def types():
         import pyarrow as pa

@@ -89,13 +89,20 @@ def texts_of(column, step: int = 256):
             yield text or ""
 
 
+#: What empties the tables that operators keep in a worker between their tasks.
+CACHES: list = []
+
+
 def give_back() -> None:
-    """Hand freed memory of a Python worker back to the system: workers live
-    on between tasks, and what one task freed would count on in the next."""
+    """Empty what other operators keep in this Python worker and hand freed
+    memory back to the system: workers live on between tasks, and what one task
+    held would count on in the next."""
     import ctypes
 
     import pyarrow as pa
 
+    for clear in CACHES:
+        clear()
     pa.default_memory_pool().release_unused()
     trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
     if trim is not None:
