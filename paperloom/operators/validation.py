@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.dialect import split_methods
+
 # Fixed values.
 REASONABLE_RATES = (0, 7, 10, 13, 19, 20)
 WEIGHTS = {"ocr": "0.18", "layout": "0.12", "table": "0.14", "fields": "0.20", "financial": "0.16", "validation": "0.12", "erp": "0.08"}
@@ -143,12 +145,14 @@ def readiness(rows: DataFrame) -> DataFrame:
 DUPLICATE_KEYS = ("invoice_number", "supplier_name", "invoice_date", "customer_name", "amount_ttc")
 
 
-def _key_rows(invoices: DataFrame, least: int, exactly: bool) -> DataFrame:
+def _key_rows(invoices: DataFrame, least: int, exactly: bool, pairs: Column | None = None) -> DataFrame:
     """(doc_id, amount, kind, key): a row for each set of at least (or exactly)
     ``least`` of the five keys that a document has. Amounts stand in cells of two
-    cents on two grids, so that amounts within a cent share a cell."""
+    cents on two grids, so that amounts within a cent share a cell. ``pairs``
+    leaves out sets that hold a pair of keys whose bit isn't set."""
     from itertools import combinations
 
+    split_methods(invoices.sparkSession)
     cents = F.col("amount_ttc") * 100
     filled = [F.when(F.coalesce(F.col(n).cast("string"), F.lit("")) != "", F.col(n).cast("string")) for n in DUPLICATE_KEYS[:-1]]
     grids = [F.concat(F.lit("0|"), F.floor(cents / 2).cast("string")), F.concat(F.lit("1|"), F.floor((cents + 1) / 2).cast("string"))]
@@ -161,6 +165,9 @@ def _key_rows(invoices: DataFrame, least: int, exactly: bool) -> DataFrame:
                 whole = parts[0].isNotNull()
                 for x in parts[1:]:
                     whole = whole & x.isNotNull()
+                if pairs is not None:
+                    need = sum(1 << (1 << i) + (1 << j) for i, j in combinations(chosen, 2))
+                    whole = whole & (pairs.bitwiseAND(F.lit(need).cast("long")) == need)
                 options.append(F.when(whole, F.struct(F.lit(sum(1 << i for i in chosen)).alias("kind"), F.concat_ws(chr(31), *parts).alias("key"))))
     rows = invoices.select("doc_id", F.col("amount_ttc").alias("amount"), F.explode(F.array_compact(F.array(*options))).alias("x"))
     return rows.select("doc_id", "amount", "x.kind", "x.key")
@@ -185,11 +192,22 @@ def duplicate_pairs(invoices: DataFrame) -> DataFrame:
     return pairs.select("a", "b", n.alias("n_matched"), F.least(F.lit(1.0), (45 + n * 11) / 100).alias("confidence"))
 
 
+def shared_pairs(invoices: DataFrame) -> DataFrame:
+    """doc_id and pairs: a bit for each pair of keys that a document shares with
+    another, at the number of the pair's kind; documents without any are left
+    out. Cells are 64-bit hashes, so a bit can be one too many, none is missing."""
+    rows = _key_rows(invoices, 2, True).select("doc_id", "kind", F.xxhash64("kind", "key").alias("cell"))
+    crowded = rows.groupBy("cell").agg(F.count("*").alias("n")).where("n > 1").select("cell")
+    return rows.join(crowded, "cell", "left_semi").groupBy("doc_id").agg(F.bit_or(F.expr("shiftleft(1L, kind)")).alias("pairs"))
+
+
 def duplicate_degrees(invoices: DataFrame) -> DataFrame:
     """doc_id and n_matched: the most keys that a document shares with any one
     other. No pairs are made: cells count their documents, with the two least
-    and two greatest amounts, so a group of any size costs a row a document."""
-    rows = _key_rows(invoices, 2, False)
+    and two greatest amounts, so a group of any size costs a row a document.
+    A set of keys is shared only where each pair of them is, so the short rows
+    of ``shared_pairs`` decide which sets are written out with their texts."""
+    rows = _key_rows(invoices.join(shared_pairs(invoices), "doc_id"), 2, False, F.col("pairs"))
     cells = rows.groupBy("kind", "key").agg(F.count("*").alias("n"), F.min("amount").alias("low"), F.max("amount").alias("high")).where("n > 1")
     met = rows.join(cells, ["kind", "key"])
     whole = (F.col("kind").bitwiseAND(16) == 0) | (F.col("high") - F.col("low") <= money("0.01"))
