@@ -22,9 +22,12 @@ by the triangle inequality:
 Document pivots come last because unrelated texts all lie at a distance near
 1 from any document: at the top their windows would hold every document.
 
-Candidates meet a lower bound of their symmetric difference from 128 counts
-before their texts are compared, and of candidates only those that would still
-join two components are compared. No pair is dropped otherwise, none is capped.
+Candidates meet a lower bound of their symmetric difference before their texts
+are compared: from 128 counts, then, as these come out alike for any two long
+texts, from a count for every two to four shingles. Of candidates only those
+that would still join two components are compared. No pair is dropped
+otherwise, none is capped. A member that this bound keeps from its pivot needs
+no exact distance: the bound stands for it, which only widens the window.
 
 Distribution: a set costs about 0.1 (similarity 0.9) to 0.25 (0.8) numbers of
 16 bytes a shingle in one shuffle. Copies of a text count once. Cells are read
@@ -53,6 +56,8 @@ CELL = 8
 #: New projections of a set with too many empty ranges, before single shingles.
 TRIES = 5
 SKETCH = 128
+#: Shingles a count of a fine sketch, counts of it at most, and largest count.
+FINE, MOST_FINE, TOP = 4, 1 << 15, 15
 #: Regions up to so many sets are solved in one task.
 LOCAL = 2048
 #: Rounds that take only the largest cell of each member.
@@ -149,8 +154,40 @@ def _digests(flat, at):
     return out
 
 
+def _fine(values) -> bytes | None:
+    """Counts of a set's hashes by their lower bits, two to a byte; None where
+    a sketch of SKETCH counts is as fine. Counts above TOP are TOP."""
+    import numpy as np
+
+    size = SKETCH
+    while size < MOST_FINE and size * FINE < len(values):
+        size *= 2
+    if size == SKETCH:
+        return None
+    x = np.minimum(np.bincount((values & np.uint64(size - 1)).astype(np.int64), minlength=size), TOP).astype(np.uint8)
+    return (x[0::2] | x[1::2] << 4).tobytes()
+
+
+def _unpacked(fine: bytes):
+    import numpy as np
+
+    raw = np.frombuffer(fine, np.uint8)
+    out = np.empty(2 * len(raw), np.int8)
+    out[0::2], out[1::2] = raw & 15, raw >> 4
+    return out
+
+
+def _folded(x, size: int):
+    """The fine sketch of ``size`` counts of the set whose fine sketch is x."""
+    import numpy as np
+
+    while len(x) > size:
+        x = np.minimum(x[: len(x) // 2] + x[len(x) // 2 :], TOP).astype(np.int8)
+    return x
+
+
 def profiles(docs: DataFrame, width: int, seed: int) -> DataFrame:
-    """doc_id, n (shingles), id and check (digests of the set), sketch."""
+    """doc_id, n (shingles), id and check (digests of the set), sketch, fine."""
 
     def run(batches):
         import numpy as np
@@ -163,9 +200,10 @@ def profiles(docs: DataFrame, width: int, seed: int) -> DataFrame:
                 a, b = _digests(flat, to)
                 counts = np.bincount(np.repeat(np.arange(rows), n) * SKETCH + (flat & np.uint64(SKETCH - 1)).astype(np.int64), minlength=rows * SKETCH)
                 sketch = np.minimum(counts, 255).astype(np.uint8).reshape(rows, SKETCH)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, rows), pa.array(n), pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), pa.array([x.tobytes() for x in sketch], pa.binary())], ["doc_id", "n", "id", "check", "sketch"])
+                fine = [_fine(flat[s:e]) for s, e in zip(to[:-1].tolist(), to[1:].tolist())]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, rows), pa.array(n), pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), pa.array([x.tobytes() for x in sketch], pa.binary()), pa.array(fine, pa.binary())], ["doc_id", "n", "id", "check", "sketch", "fine"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n long, id long, check long, sketch binary")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n long, id long, check long, sketch binary, fine binary")
 
 
 def _blob(low, ids, width: int):
@@ -366,6 +404,37 @@ def _grouped(pairs: DataFrame) -> DataFrame:
     return cut(out, "grouped")
 
 
+def _bounded(pairs: DataFrame, sets_of: DataFrame) -> DataFrame:
+    """(a, b, apart, most) of pairs grouped by ``g``: a lower bound of the
+    symmetric difference, from fine sketches where both have them, and the sum
+    of the sizes."""
+
+    def run(left, right):
+        import numpy as np
+        import pyarrow as pa
+
+        names = ["a", "b", "apart", "most"]
+        if not left.num_rows or not right.num_rows:
+            return pa.table({n: pa.array([], pa.int64()) for n in names})
+        at = {x: i for i, x in enumerate(right["id"].to_pylist())}
+        n, coarse, packed = (right[c].to_pylist() for c in ("n", "sketch", "fine"))
+        fine = [_unpacked(x) if x else None for x in packed]
+        done = []
+        for a, b in zip(left["a"].to_pylist(), left["b"].to_pylist()):
+            i, j = at[a], at[b]
+            if fine[i] is None or fine[j] is None:
+                x, y = (np.frombuffer(coarse[k], np.uint8).astype(np.int16) for k in (i, j))
+            else:
+                size = min(len(fine[i]), len(fine[j]))
+                x, y = _folded(fine[i], size), _folded(fine[j], size)
+            done.append((a, b, int(np.abs(x - y).sum(dtype=np.int64)), n[i] + n[j]))
+        return pa.table({c: pa.array(list(x), pa.int64()) for c, x in zip(names, zip(*done))})
+
+    members = pairs.select("g", F.explode(F.array("a", "b")).alias("id")).distinct().join(sets_of.select("id", "n", "sketch", "fine"), "id").select("g", "id", "n", "sketch", "fine")
+    asked = pairs.select(F.col("g").alias("h"), "a", "b")
+    return asked.groupBy("h").cogroup(members.groupBy("g")).applyInArrow(run, "a long, b long, apart long, most long")
+
+
 def _compared(pairs: DataFrame, texts: DataFrame, width: int, seed: int, p: int, q: int, links: bool) -> DataFrame:
     """(a, b, shared, whole): sizes of intersection and union of pairs grouped
     by ``g``; with ``links`` only of those that link two texts which the links
@@ -412,36 +481,98 @@ def _compared(pairs: DataFrame, texts: DataFrame, width: int, seed: int, p: int,
 
 
 def _paired(rows: DataFrame, p: int, q: int) -> DataFrame:
-    """(cell, a, b) for regions of (cell, id, root, n, sketch): pairs of
-    two components whose sizes and sketches allow a link. A region with more
-    than ``PAIRS`` of them a member gives its members instead, without b."""
+    """(cell, a, b) for regions of (cell, id, root, side, n, sketch, fine): pairs
+    of two components (and, where the region has two sides, of the two sides)
+    whose sizes and sketches allow a link; where ``fine`` is null the sketch
+    alone decides. A region with more than ``PAIRS`` of them a member gives its
+    members instead, without b. Regions are read as sorted streams."""
 
-    def run(table):
+    def run(batches):
         import numpy as np
         import pyarrow as pa
 
-        table = table.combine_chunks()
-        ids, n, rows = table["id"].to_numpy(), table["n"].to_numpy(), table.num_rows
-        sketch = np.frombuffer(b"".join(table["sketch"].to_pylist()), np.uint8).reshape(rows, SKETCH).astype(np.int16)
-        root = table["root"].to_numpy()
-        found, total = [], 0
-        member = np.zeros(rows, bool)
-        for i in range(rows - 1):
-            at = i + 1 + np.flatnonzero((root[i + 1 :] != root[i]) & (np.minimum(n[i + 1 :], n[i]) * q >= np.maximum(n[i + 1 :], n[i]) * p))
-            at = at[np.abs(sketch[at] - sketch[i]).sum(1, dtype=np.int64) * (q + p) <= (n[at] + n[i]) * (q - p)]
-            if len(at):
-                member[i] = member[at] = True
-                total += len(at)
-                if total <= PAIRS * rows:
-                    found.append((np.full(len(at), ids[i]), ids[at]))
-        if total > PAIRS * rows:
-            a, b = ids[member], pa.nulls(int(member.sum()), pa.int64())
-        else:
-            a, b = (np.concatenate(x) for x in zip(*found)) if found else (ids[:0], ids[:0])
-            a, b = np.maximum(a, b), pa.array(np.minimum(a, b))
-        return pa.table({"cell": pa.array(np.full(len(a), table["cell"][0].as_py())), "a": pa.array(a), "b": b})
-
-    return rows.groupBy("cell").applyInArrow(run, "cell long, a long, b long")
+        def solve(cell, ids, root, side, n, sketch, packed):
+            rows = len(ids)
+            two = side.min() != side.max()
+            level = np.array([2 * len(x) if x else 0 for x in packed])
+            finer: dict = {}
+
+            def fine_of(size):
+                """Sketches of ``size`` counts of all members that meet at it."""
+                if size not in finer:
+                    of = np.flatnonzero((level == size) | (level == 2 * size))
+                    where = np.full(rows, -1)
+                    where[of] = np.arange(len(of))
+                    finer[size] = where, np.stack([_folded(_unpacked(packed[k]), size) for k in of.tolist()])
+                return finer[size]
+
+            def allowed(i, j):
+                """Those of the pairs (i, j) that sketches leave open."""
+                near = (root[j] != root[i]) & (np.minimum(n[j], n[i]) * q >= np.maximum(n[j], n[i]) * p)
+                if two:
+                    near &= side[j] != side[i]
+                i, j = i[near], j[near]
+                near = np.abs(sketch[j] - sketch[i]).sum(1, dtype=np.int64) * (q + p) <= (n[j] + n[i]) * (q - p)
+                i, j = i[near], j[near]
+                least, most = np.minimum(level[i], level[j]), np.maximum(level[i], level[j])
+                close = (least > 0) & (most <= 2 * least)
+                open_ones = np.ones(len(i), bool)
+                for size in np.unique(least[close]).tolist():
+                    where, sketches = fine_of(size)
+                    of = np.flatnonzero(close & (least == size))
+                    step = max(1, (1 << 22) // size)
+                    for s in range(0, len(of), step):
+                        k = of[s : s + step]
+                        apart = np.abs(sketches[where[j[k]]] - sketches[where[i[k]]]).sum(1, dtype=np.int64)
+                        open_ones[k] = apart * (q + p) <= (n[j[k]] + n[i[k]]) * (q - p)
+                return i[open_ones], j[open_ones]
+
+            found, total = [], 0
+            member = np.zeros(rows, bool)
+            if rows <= 64:
+                asked = [np.triu_indices(rows, 1)]
+            else:
+                asked = ((np.full(rows - 1 - i, i), np.arange(i + 1, rows)) for i in range(rows - 1))
+            for i, j in asked:
+                i, j = allowed(i, j)
+                if len(i):
+                    member[i] = member[j] = True
+                    total += len(i)
+                    if total <= PAIRS * rows:
+                        found.append((ids[i], ids[j]))
+            if total > PAIRS * rows:
+                a = ids[member]
+                return pa.RecordBatch.from_arrays([pa.array(np.full(len(a), cell)), pa.array(a), pa.nulls(len(a), pa.int64())], ["cell", "a", "b"])
+            if not found:
+                return None
+            a, b = (np.concatenate(x) for x in zip(*found))
+            return pa.RecordBatch.from_arrays([pa.array(np.full(len(a), cell)), pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b))], ["cell", "a", "b"])
+
+        def regions():
+            now, held = None, []
+            for batch in batches:
+                cells, ids, root, side, n = (batch.column(c).to_numpy() for c in range(5))
+                if not len(cells):
+                    continue
+                sketch = np.frombuffer(b"".join(batch.column(5).to_pylist()), np.uint8).reshape(len(cells), SKETCH).astype(np.int16)
+                starts = np.flatnonzero(np.concatenate([[True], cells[1:] != cells[:-1]]))
+                for s, e in zip(starts.tolist(), [*starts[1:].tolist(), len(cells)]):
+                    if held and cells[s] != now:
+                        yield now, held
+                        held = []
+                    now = cells[s]
+                    held.append([*(x[s:e] for x in (ids, root, side, n, sketch)), batch.column(6).slice(s, e - s).to_pylist()])
+            if held:
+                yield now, held
+
+        for cell, held in regions():
+            *arrays, packed = zip(*held)
+            out = solve(cell, *(np.concatenate(x) if len(x) > 1 else x[0] for x in arrays), sum(packed, []))
+            if out is not None:
+                yield out
+
+    dealt = rows.select("cell", "id", "root", "side", "n", "sketch", "fine").repartition("cell").sortWithinPartitions("cell")
+    return dealt.mapInArrow(run, "cell long, a long, b long")
 
 
 def _solved(rows: DataFrame, width: int, seed: int, p: int, q: int) -> DataFrame:
@@ -532,7 +663,7 @@ def join(docs: DataFrame, width: int = 5, p: int = 8, q: int = 10) -> DataFrame:
     while True:
         profile = cut(profiles(docs, width, seed), "profiles")
         known = profile.where("n > 0 and doc_id is not null")
-        sets_of = cut(known.groupBy("id").agg(F.min("doc_id").alias("doc"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.min("check").alias("low"), F.max("check").alias("high")), "sets")
+        sets_of = cut(known.groupBy("id").agg(F.min("doc_id").alias("doc"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("fine").alias("fine"), F.min("check").alias("low"), F.max("check").alias("high")), "sets")
         if not sets_of.where("low <> high").limit(1).count():
             break
         seed += 1  # two sets with one digest: other hashes tell them apart
@@ -552,6 +683,16 @@ def join(docs: DataFrame, width: int = 5, p: int = 8, q: int = 10) -> DataFrame:
         of = lambda c: comp.select(F.col("u").alias(c), F.col("v").alias(f"{c}_root"))
         return pairs.join(of("a"), "a", "left").join(of("b"), "b", "left").where("coalesce(a_root, a) <> coalesce(b_root, b)").drop("a_root", "b_root")
 
+    possible = F.col("apart") * (q + p) <= F.col("most") * (q - p)
+
+    def bounded(pairs: DataFrame) -> DataFrame:
+        """Pairs with what sketches say of them."""
+        open_ones = cut(pairs.select("a", "b"), "sketched")
+        grouped = _grouped(open_ones)
+        out = cut(_bounded(grouped, sets_of), "bounds")
+        release(open_ones, grouped)
+        return out
+
     def linked(pairs: DataFrame, name: str) -> DataFrame:
         open_ones = cut(pairs.select("a", "b"), "pairs")
         grouped = _grouped(open_ones)
@@ -579,7 +720,8 @@ def join(docs: DataFrame, width: int = 5, p: int = 8, q: int = 10) -> DataFrame:
         pivots = cut(crowd.groupBy("cell").agg(F.min("a").alias("b")), "pivots")
         waiting = cut(crowd.join(pivots, "cell").where("a <> b"), "waiting")
         pivoted = waiting.select(F.col("a").alias("x"), F.col("b").alias("y")).distinct()
-        near = cut(differing(_near(pairs, sets_of, "short", p, q).union(_near(pivoted, sets_of, "id", p, q))).distinct(), "near")
+        bounds = bounded(differing(_near(pairs, sets_of, "short", p, q).union(_near(pivoted, sets_of, "id", p, q))).distinct())
+        near = bounds.where(possible).select("a", "b")
         release(found)
         if texts is None:
             ids = crowd.select(F.col("a").alias("id")).union(near.select(F.explode(F.array("a", "b")).alias("id"))).distinct()
@@ -589,7 +731,7 @@ def join(docs: DataFrame, width: int = 5, p: int = 8, q: int = 10) -> DataFrame:
         first = cut(near.groupBy("a").agg(F.min("b").alias("b")), "first")
         add(linked(first, "links"))
         add(linked(differing(near.join(first, ["a", "b"], "left_anti")), "rest"))
-        release(near, first)
+        release(bounds, first)
         # Crowded cells that hold several components, the largest of each member
         # first: what it links often settles the others.
         again, turn = None, 0
@@ -606,33 +748,42 @@ def join(docs: DataFrame, width: int = 5, p: int = 8, q: int = 10) -> DataFrame:
                 now = cut(members.join(largest, "cell"), "now")
             waiting, turn = cut(members.join(now.select("cell").distinct(), "cell", "left_anti"), "waiting"), turn + 1
             tidy_driver(spark)
-            asked = cut(now.select("a", "b").distinct(), "asked")
-            grouped = _grouped(asked)
+            bounds = bounded(now.select("a", "b").distinct())
+            grouped = _grouped(bounds.where(possible).select("a", "b"))
             far = cut(_compared(grouped, texts, width, seed, p, q, False), "distances")
-            release(asked, grouped)
-            far_of = now.join(far.withColumn("d", 1 - F.col("shared") / F.col("whole")), ["a", "b"])
+            release(grouped)
+            least_d = 2 * F.col("apart") / (F.col("most") + F.col("apart"))
+            known_d = bounds.join(far, ["a", "b"], "left").select("a", "b", F.coalesce(1 - F.col("shared") / F.col("whole"), least_d).alias("d"))
+            far_of = now.join(known_d, ["a", "b"])
             border = far_of.where(F.col("d") > radius + 1e-12).groupBy("cell").agg(F.min("d").alias("border"))
             kept = cut(far_of.join(border, "cell").where(F.col("d") >= F.least(F.col("border") - radius, F.lit(radius)) - 1e-9).select("cell", F.col("a").alias("id")), "kept")
             # Members within the radius are linked to the pivot.
             ball = cut(far.where(F.col("shared") * q >= F.col("whole") * p).select(F.col("a").alias("u"), F.col("b").alias("v")), "ball")
-            release(members, now, far)
+            release(members, now, far, bounds)
             add(ball)
             large = kept.groupBy("cell").count().where(F.col("count") > LOCAL).select("cell")
-            # Sketches move to the regions; texts to the pairs that they leave open,
-            # or to regions with very many of these.
+            # Sketches move to the regions, fine ones to the pairs that they leave
+            # open or to regions with very many of these; texts to what is open then.
             small = kept.join(large, "cell", "left_anti")
             rooted = lambda rows: rows.join(comp.select(F.col("u").alias("id"), F.col("v").alias("root")), "id", "left").withColumn("root", F.coalesce("root", "id"))
             # Regions that the balls have joined into one component are settled.
             within = cut(rooted(small), "within")
             parted = within.groupBy("cell").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("cell")
-            open_pairs = cut(_paired(within.join(parted, "cell").join(sets_of.select("id", "n", "sketch"), "id").select("cell", "id", "root", "n", "sketch"), p, q), "open")
+            coarse = sets_of.select("id", "n", "sketch", F.lit(None).cast("binary").alias("fine"))
+            open_pairs = cut(_paired(within.join(parted, "cell").join(coarse, "id").withColumn("side", F.lit(0)), p, q), "open")
             release(within)
-            add(linked(differing(open_pairs.where("b is not null").select("a", "b").distinct()), "settled"))
+            bounds = bounded(differing(open_pairs.where("b is not null").select("a", "b").distinct()))
+            add(linked(bounds.where(possible), "settled"))
+            release(bounds)
             dense = cut(open_pairs.where("b is null").select("cell", F.col("a").alias("id")), "dense")
             if dense.limit(1).count():
                 blocks = cut(_blocks(dense), "blocks")
-                add(cut(_solved(rooted(blocks.join(texts, "id")).select("cell", "id", "root", "side", "text"), width, seed, p, q), "solved"))
-                release(blocks)
+                finer = cut(_paired(rooted(blocks).join(sets_of, "id"), p, q), "finer")
+                add(linked(differing(finer.where("b is not null").select("a", "b").distinct()), "fine"))
+                still = cut(blocks.join(finer.where("b is null").select("cell", F.col("a").alias("id")), ["cell", "id"]), "still")
+                if still.limit(1).count():
+                    add(cut(_solved(rooted(still.join(texts, "id")).select("cell", "id", "root", "side", "text"), width, seed, p, q), "solved"))
+                release(blocks, finer, still)
             release(dense)
             release(open_pairs)
             more = cut(kept.join(large, "cell").select("cell", "id"), "more")
