@@ -207,14 +207,17 @@ def profiles(docs: DataFrame, width: int, seed: int) -> DataFrame:
 
 
 def _blob(low, ids, width: int):
-    """Sorted 32-bit cells as differences (two bytes each, FFFF for 65535 more)
-    where that is shorter, and the low ``width`` bytes of the ids."""
+    """Sorted 32-bit cells as differences (two bytes each, FFFF for 65535 more,
+    or three bytes) where that is shorter, and the low ``width`` bytes of the
+    ids."""
     import numpy as np
 
     step = np.diff(low, prepend=low.dtype.type(0))
     more = (step // 65535).astype(np.int64)
     kind, cells = 1, low.astype("<u4").tobytes()
-    if more.sum() < len(low):
+    if len(low) < 2 * more.sum() and step.max() < 1 << 24:
+        kind, cells = 3, step.astype("<u4").view(np.uint8).reshape(-1, 4)[:, :3].tobytes()
+    elif more.sum() < len(low):
         out = np.full(len(low) + int(more.sum()), 0xFFFF, "<u2")
         out[np.arange(len(low)) + np.cumsum(more)] = step % 65535
         kind, cells = 0, out.tobytes()
@@ -227,6 +230,10 @@ def _unblob(kind: int, cells: bytes, ids: bytes, width: int):
     if kind == 0:
         step = np.frombuffer(cells, "<u2")
         low = np.cumsum(step, dtype=np.uint64)[step != 0xFFFF]
+    elif kind == 3:
+        step = np.zeros((len(cells) // 3, 4), np.uint8)
+        step[:, :3] = np.frombuffer(cells, np.uint8).reshape(-1, 3)
+        low = np.cumsum(step.view("<u4").ravel(), dtype=np.uint64)
     else:
         low = np.frombuffer(cells, "<u4" if kind == 1 else "<u8").astype(np.uint64)
     wide = np.zeros((len(low), 8), np.uint8)

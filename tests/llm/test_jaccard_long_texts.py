@@ -42,3 +42,15 @@ def test_fine_sketches_bound_the_difference():
         assert found <= len(np.setxor1d(a, b))
     assert found * 18 > 2 * (len(a) + len(b))
     assert jaccard._fine(same[:512]) is None
+
+
+def test_packed_cells_come_back():
+    rng = np.random.default_rng(3)
+    for n in (1, 50, 3000, 100_000, 2_000_000):
+        low, ids = np.sort(rng.integers(0, 2**32, n, dtype=np.uint64)), rng.integers(0, 2**24, n, dtype=np.uint64)
+        kind, cells, packed = jaccard._blob(low, ids, 3)
+        assert len(cells) <= 4 * n
+        if n == 100_000:
+            assert len(cells) <= 3 * n
+        got = jaccard._unblob(kind, cells, packed, 3)
+        assert (got[0] == low).all() and (got[1] == ids).all()
