@@ -267,8 +267,8 @@ def _regions(rows: DataFrame, width: int, seed: int, p: int, q: int, level: int,
             order = np.argsort(key)
             key, of = key[order], of[order]
             del order
-            place = np.arange(len(key)) - np.maximum.accumulate(np.where(np.concatenate([[True], key[1:] != key[:-1]]), np.arange(len(key)), 0))
-            over = place > CELL
+            over = np.zeros(len(key), bool)
+            over[CELL + 1 :] = key[CELL + 1 :] == key[: -CELL - 1]
             out = []
             if over.any():
                 out.append((int(mixed(of[over][:1])[0] % np.uint64(parts)), 2, key[over].astype("<u8").tobytes(), of[over].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :short].tobytes()))
@@ -322,45 +322,58 @@ def _candidates(regions: DataFrame, short: int) -> DataFrame:
         names = ["cell", "a", "b"]
 
         def solve(part, packed):
-            low, ids = (np.concatenate(c) for c in zip(*[_unblob(*x, short) for x in packed]))
-            if short <= 4:
-                key = np.unique(low << np.uint64(32) | ids)
-                low, ids = key >> np.uint64(32), key & np.uint64(0xFFFFFFFF)
-            else:
-                order = np.lexsort((ids, low))
-                low, ids = low[order], ids[order]
-                new = np.ones(len(low), bool)
-                new[1:] = (low[1:] != low[:-1]) | (ids[1:] != ids[:-1])
-                low, ids = low[new], ids[new]
-            starts = np.flatnonzero(np.concatenate([[True], low[1:] != low[:-1]]))
+            """Members of one part's cells; most cells have one and go first."""
+            low, ids = (np.concatenate(c) for c in zip(*packed))
+            packed.clear()
+            order = np.argsort(low)
+            low = low[order]
+            meets = np.zeros(len(low), bool)
+            meets[1:] = low[1:] == low[:-1]
+            meets[:-1] |= meets[1:]
+            low, ids = low[meets], ids[order[meets]]
+            del order, meets
+            order = np.lexsort((ids, low))
+            low, ids = low[order], ids[order]
+            new = np.ones(len(low), bool)
+            new[1:] = (low[1:] != low[:-1]) | (ids[1:] != ids[:-1])
+            low, ids = low[new].astype(np.uint64), ids[new]
+            starts = np.flatnonzero(np.concatenate([[True], low[1:] != low[:-1]])) if len(low) else np.zeros(0, np.int64)
             lens = np.diff(np.concatenate([starts, [len(low)]]))
             many = np.repeat(lens > CELL, lens)
             if many.any():
                 cell = (low[many] | np.uint64(part) << np.uint64(32)).view(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(ids[many].view(np.int64)), pa.nulls(len(cell), pa.int64())], names)
-            for j in range(1, CELL):
-                at = np.flatnonzero((low[j:] == low[: len(low) - j]) & ~many[j:]) if len(low) > j else []
+            # Near copies share most of their cells, so a pair comes many times.
+            a, b = np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+            for j in range(1, min(CELL, len(low))):
+                at = np.flatnonzero((low[j:] == low[:-j]) & ~many[j:])
                 if not len(at):
                     break
-                yield pa.RecordBatch.from_arrays([pa.nulls(len(at), pa.int64()), pa.array(ids[at + j].view(np.int64)), pa.array(ids[at].view(np.int64))], names)
+                a, b = np.concatenate([a, ids[at + j]]), np.concatenate([b, ids[at]])
+                order = np.lexsort((b, a))
+                a, b = a[order], b[order]
+                new = np.ones(len(a), bool)
+                new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+                a, b = a[new], b[new]
+            if len(a):
+                yield pa.RecordBatch.from_arrays([pa.nulls(len(a), pa.int64()), pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names)
 
         held: list = []
         now = None
         for batch in batches:
-            for part, kind, cells, ids in zip(*[c.to_pylist() for c in batch.columns]):
+            for part, kind, cells, ids in zip(*(batch.column(i) for i in range(4))):
+                part, kind = part.as_py(), kind.as_py()
+                low, of = _unblob(kind, cells.as_buffer(), ids.as_buffer(), short)
                 if kind == 2:
-                    cell, of = _unblob(kind, cells, ids, short)
-                    yield pa.RecordBatch.from_arrays([pa.array(cell.view(np.int64)), pa.array(of.view(np.int64)), pa.nulls(len(of), pa.int64())], names)
+                    yield pa.RecordBatch.from_arrays([pa.array(low.view(np.int64)), pa.array(of.view(np.int64)), pa.nulls(len(of), pa.int64())], names)
                     continue
                 if part != now and held:
                     yield from solve(now, held)
-                    held = []
                     give_back()
                 now = part
-                held.append((kind, cells, ids))
+                held.append((low.astype(np.uint32), of))
         if held:
             yield from solve(now, held)
-        held.clear()
         give_back()
 
     dealt = regions.repartition("part").sortWithinPartitions("part")
