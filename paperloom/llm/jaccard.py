@@ -47,7 +47,7 @@ from functools import cache
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, give_back, release, tidy_driver
+from .common import FEW, as_few, cut, few, give_back, release, tidy_driver
 from .components import components
 from .shingles import chunks, mixed, sets
 
@@ -380,9 +380,9 @@ def _candidates(regions: DataFrame, short: int) -> DataFrame:
     return dealt.mapInArrow(run, "cell long, a long, b long")
 
 
-def _near(pairs: DataFrame, sets_of: DataFrame, key: str, p: int, q: int) -> DataFrame:
-    """The sets (a, b) of pairs (x, y), named by ``key``, whose sizes and
-    sketches allow a link."""
+def _near(pairs: DataFrame, sets_of: DataFrame, p: int, q: int) -> DataFrame:
+    """The sets (a, b) of pairs (x, y) of short ids whose sizes and sketches
+    allow a link."""
 
     def run(batches):
         import numpy as np
@@ -397,8 +397,8 @@ def _near(pairs: DataFrame, sets_of: DataFrame, key: str, p: int, q: int) -> Dat
             keep = pa.array(apart * (q + p) <= most * (q - p))
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], ["a", "b"])
 
-    left = sets_of.select(F.col(key).alias("x"), F.col("id").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa"))
-    right = sets_of.select(F.col(key).alias("y"), F.col("id").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb"))
+    left = sets_of.select(F.col("short").alias("x"), F.col("id").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa"))
+    right = sets_of.select(F.col("short").alias("y"), F.col("id").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb"))
     rows = pairs.join(left, "x").join(right, "y").where(F.least("na", "nb") * q >= F.greatest("na", "nb") * p).where("a <> b")
     return rows.select("a", "b", "sa", "sb", (F.col("na") + F.col("nb")).alias("most")).mapInArrow(run, "a long, b long")
 
@@ -411,17 +411,19 @@ def _grouped(pairs: DataFrame) -> DataFrame:
     n_pairs = pairs.count()
     if n_pairs <= GROUP:
         return pairs.select(F.lit(0).cast("long").alias("g"), "a", "b")
-    near = pairs.select("a", "b").union(pairs.select("b", "a"))
+    one = F.broadcast if n_pairs <= FEW else lambda df: df  # as few() does
+    pairs = pairs.coalesce(1) if n_pairs <= FEW else pairs
+    near = pairs.select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("x")).select("x.*")
     hub = near.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("m")).select("id", F.least("id", "m").alias("hub"))
-    of = pairs.join(hub.withColumnRenamed("id", "b"), "b")
+    of = pairs.join(one(hub.withColumnRenamed("id", "b")), "b")
     # The number of texts only sizes the blocks, so an estimate will do.
     sizes = of.groupBy("hub").agg(F.count("*").alias("pairs"), F.approx_count_distinct("a").alias("texts"))
     n = F.ceil((F.col("texts") + 1) / GROUP)
     i, j = (F.pmod(F.xxhash64(c, F.lit(5)), n) for c in ("a", "b"))
     own = F.xxhash64("hub", i, j)
     packs = max(1, n_pairs // (4 * GROUP))
-    out = of.join(sizes, "hub").select(F.when(F.col("pairs") > 4 * GROUP, own).otherwise(F.pmod(F.xxhash64("hub"), F.lit(packs))).alias("g"), "a", "b")
-    return cut(out, "grouped")
+    out = of.join(one(sizes), "hub").select(F.when(F.col("pairs") > 4 * GROUP, own).otherwise(F.pmod(F.xxhash64("hub"), F.lit(packs))).alias("g"), "a", "b")
+    return few(cut(out, "grouped"))
 
 
 def _bounded(pairs: DataFrame, sets_of: DataFrame) -> DataFrame:
@@ -693,7 +695,8 @@ def join(docs: DataFrame, width: int = 5, p: int = 8, q: int = 10) -> DataFrame:
     # Ids in regions are shortened to bytes that tell nearly all sets apart;
     # sets that share a short id are all candidates.
     short = min(8, max(3, -(-(amount[0].bit_length() + 6) // 8)))
-    sets_of = sets_of.withColumn("short", F.col("id").bitwiseAND(F.lit((1 << 8 * short) - 1)) if short < 8 else F.col("id"))
+    shortened = lambda c: F.col(c).bitwiseAND(F.lit((1 << 8 * short) - 1)) if short < 8 else F.col(c)
+    sets_of = sets_of.withColumn("short", shortened("id"))
     least_parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     def differing(pairs: DataFrame) -> DataFrame:
@@ -709,7 +712,7 @@ def join(docs: DataFrame, width: int = 5, p: int = 8, q: int = 10) -> DataFrame:
         """Pairs with what sketches say of them."""
         open_ones = cut(pairs.select("a", "b"), "sketched")
         grouped = _grouped(open_ones)
-        out = cut(_bounded(grouped, sets_of), "bounds")
+        out = few(cut(_bounded(grouped, sets_of), "bounds"))
         release(open_ones, grouped)
         return out
 
@@ -728,19 +731,19 @@ def join(docs: DataFrame, width: int = 5, p: int = 8, q: int = 10) -> DataFrame:
             return
         before, old = links, comp
         links = more if links is None else cut(links.union(more), "links")
-        comp = components(links if old is None else more.union(old))
+        comp = few(components(links if old is None else more.union(old)))
         release(before, old, more if before is not None else None)
 
     while True:
         expected = 4.8 * (q - p) / (q + p) * amount[1] if level == 0 else 4.8 * (q - p) / (q + p) * rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0] / 5
         parts = max(least_parts, int(expected / PART))
         found = cut(_candidates(_regions(rows, width, seed, p, q, level, parts, short), short), "candidates")
-        pairs = found.where("cell is null").select(F.col("a").alias("x"), F.col("b").alias("y")).distinct()
-        crowd = cut(found.where("cell is not null").select("cell", F.col("a").alias("short")).distinct().join(sets_of.select("short", "id"), "short").select("cell", F.col("id").alias("a")), "crowd")
-        pivots = cut(crowd.groupBy("cell").agg(F.min("a").alias("b")), "pivots")
-        waiting = cut(crowd.join(pivots, "cell").where("a <> b"), "waiting")
-        pivoted = waiting.select(F.col("a").alias("x"), F.col("b").alias("y")).distinct()
-        bounds = bounded(differing(_near(pairs, sets_of, "short", p, q).union(_near(pivoted, sets_of, "id", p, q))).distinct())
+        pairs = found.where("cell is null").select(F.col("a").alias("x"), F.col("b").alias("y"))
+        crowd = few(cut(found.where("cell is not null").select("cell", F.col("a").alias("short")).distinct().join(sets_of.select("short", "id"), "short").select("cell", F.col("id").alias("a")), "crowd"))
+        pivots = few(cut(crowd.groupBy("cell").agg(F.min("a").alias("b")), "pivots"))
+        waiting = few(cut(crowd.join(pivots, "cell").where("a <> b"), "waiting"))
+        pivoted = waiting.select(shortened("a").alias("x"), shortened("b").alias("y"))
+        bounds = bounded(differing(_near(pairs.union(pivoted).distinct(), sets_of, p, q)))
         near = bounds.where(possible).select("a", "b")
         release(found)
         if texts is None:
@@ -748,7 +751,7 @@ def join(docs: DataFrame, width: int = 5, p: int = 8, q: int = 10) -> DataFrame:
             texts = cut(_texts(docs, ids, sets_of, width, seed), "texts")
         release(crowd, pivots)
         # One link a set first: most other candidates then lie within a component.
-        first = cut(near.groupBy("a").agg(F.min("b").alias("b")), "first")
+        first = few(cut(near.groupBy("a").agg(F.min("b").alias("b")), "first"))
         add(linked(first, "links"))
         add(linked(differing(near.join(first, ["a", "b"], "left_anti")), "rest"))
         release(bounds, first)
@@ -756,7 +759,7 @@ def join(docs: DataFrame, width: int = 5, p: int = 8, q: int = 10) -> DataFrame:
         # first: what it links often settles the others.
         again, turn = None, 0
         while True:
-            members = cut(waiting.join(differing(waiting).select("cell").distinct(), "cell"), "members")
+            members = few(cut(waiting.join(differing(waiting).select("cell").distinct(), "cell"), "members"))
             release(waiting)
             if not members.limit(1).count():
                 release(members)
@@ -765,18 +768,18 @@ def join(docs: DataFrame, width: int = 5, p: int = 8, q: int = 10) -> DataFrame:
             if turn < TURNS:
                 sizes = members.groupBy("cell").agg(F.count("*").alias("n"))
                 largest = members.join(sizes, "cell").groupBy("a").agg(F.max(F.struct("n", "cell")).alias("x")).select("x.cell").distinct()
-                now = cut(members.join(largest, "cell"), "now")
-            waiting, turn = cut(members.join(now.select("cell").distinct(), "cell", "left_anti"), "waiting"), turn + 1
+                now = few(cut(members.join(as_few(largest, members), "cell"), "now"))
+            waiting, turn = few(cut(members.join(now.select("cell").distinct(), "cell", "left_anti"), "waiting")), turn + 1
             tidy_driver(spark)
             bounds = bounded(now.select("a", "b").distinct())
             grouped = _grouped(bounds.where(possible).select("a", "b"))
-            far = cut(_compared(grouped, texts, width, seed, p, q, False), "distances")
+            far = few(cut(_compared(grouped, texts, width, seed, p, q, False), "distances"))
             release(grouped)
             least_d = 2 * F.col("apart") / (F.col("most") + F.col("apart"))
             known_d = bounds.join(far, ["a", "b"], "left").select("a", "b", F.coalesce(1 - F.col("shared") / F.col("whole"), least_d).alias("d"))
             far_of = now.join(known_d, ["a", "b"])
             border = far_of.where(F.col("d") > radius + 1e-12).groupBy("cell").agg(F.min("d").alias("border"))
-            kept = cut(far_of.join(border, "cell").where(F.col("d") >= F.least(F.col("border") - radius, F.lit(radius)) - 1e-9).select("cell", F.col("a").alias("id")), "kept")
+            kept = few(cut(far_of.join(as_few(border, now), "cell").where(F.col("d") >= F.least(F.col("border") - radius, F.lit(radius)) - 1e-9).select("cell", F.col("a").alias("id")), "kept"))
             # Members within the radius are linked to the pivot.
             ball = cut(far.where(F.col("shared") * q >= F.col("whole") * p).select(F.col("a").alias("u"), F.col("b").alias("v")), "ball")
             release(members, now, far, bounds)
@@ -787,15 +790,15 @@ def join(docs: DataFrame, width: int = 5, p: int = 8, q: int = 10) -> DataFrame:
             small = kept.join(large, "cell", "left_anti")
             rooted = lambda rows: rows.join(comp.select(F.col("u").alias("id"), F.col("v").alias("root")), "id", "left").withColumn("root", F.coalesce("root", "id"))
             # Regions that the balls have joined into one component are settled.
-            within = cut(rooted(small), "within")
+            within = few(cut(rooted(small), "within"))
             parted = within.groupBy("cell").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("cell")
             coarse = sets_of.select("id", "n", "sketch", F.lit(None).cast("binary").alias("fine"))
-            open_pairs = cut(_paired(within.join(parted, "cell").join(coarse, "id").withColumn("side", F.lit(0)), p, q), "open")
+            open_pairs = cut(_paired(as_few(within.join(parted, "cell"), within).join(coarse, "id").withColumn("side", F.lit(0)), p, q), "open")
             release(within)
             bounds = bounded(differing(open_pairs.where("b is not null").select("a", "b").distinct()))
             add(linked(bounds.where(possible), "settled"))
             release(bounds)
-            dense = cut(open_pairs.where("b is null").select("cell", F.col("a").alias("id")), "dense")
+            dense = few(cut(open_pairs.where("b is null").select("cell", F.col("a").alias("id")), "dense"))
             if dense.limit(1).count():
                 blocks = cut(_blocks(dense), "blocks")
                 finer = cut(_paired(rooted(blocks).join(sets_of, "id"), p, q), "finer")
