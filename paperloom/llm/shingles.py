@@ -88,6 +88,22 @@ def chunks(column):
         i = j
 
 
+def sliding_least(values, width: int):
+    """Least of each ``width`` values in a row, by prefix and suffix minima of
+    blocks."""
+    import numpy as np
+
+    n = len(values)
+    rows = -(-n // width)
+    full = np.full(rows * width, np.uint64(2**64 - 1))
+    full[:n] = values
+    grid = full.reshape(rows, width)
+    forward = np.minimum.accumulate(grid, axis=1).ravel()
+    backward = np.minimum.accumulate(grid[:, ::-1], axis=1)[:, ::-1].ravel()
+    starts = np.arange(n - width + 1)
+    return np.minimum(backward[starts], forward[starts + width - 1])
+
+
 def word_hashes(raw, at, seed: int = 1):
     """Hash of every word and the row that it is in."""
     import numpy as np

@@ -37,8 +37,9 @@ from functools import cache
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, release
-from .shingles import buffers, mixed
+from . import passages
+from .common import cut, matched, release, words
+from .shingles import buffers, mixed, sliding_least
 
 LENGTH, GRAM, BLOCK = 400, 100, 32
 HOT = 50_000
@@ -207,16 +208,7 @@ def minimisers(raw):
         return tuple(np.zeros(0, np.int64) for _ in range(4))
     g = _gram_hashes(raw)
     width, n = LENGTH - GRAM + 1, len(g)
-    # Least of each window of hashes, by prefix and suffix minima of blocks.
-    rows = -(-n // width)
-    top = np.uint64(2**64 - 1)
-    full = np.full(rows * width, top)
-    full[:n] = g
-    grid = full.reshape(rows, width)
-    forward = np.minimum.accumulate(grid, axis=1).ravel()
-    backward = np.minimum.accumulate(grid[:, ::-1], axis=1)[:, ::-1].ravel()
-    starts = np.arange(n - width + 1)
-    least = np.minimum(backward[starts], forward[starts + width - 1])
+    least, starts = sliding_least(g, width), np.arange(n - width + 1)
     # Leftmost place of the least: the first place with that hash from the start on.
     equal = np.flatnonzero(np.isin(g, least)) if len(least) else starts
     codes = g[equal]
@@ -381,30 +373,32 @@ def identity(seed: int):
     return F.xxhash64(F.lit(seed), F.col("text")), F.xxhash64(F.lit(-seed), F.col("text"))
 
 
-def spans(docs: DataFrame) -> tuple[DataFrame, DataFrame, int]:
-    """(tid, starts): runs of starts of repeated windows of each text that is
-    not repeated as a whole, (tid, doc, copies) of every text of LENGTH bytes
+def named(docs: DataFrame, least: int) -> tuple[DataFrame, DataFrame, int]:
+    """(doc, text, tid) and (tid, doc, copies) of every text of ``least`` bytes
     or more, and the seed of tid, a hash of the text. Two texts with one tid
     are told apart by a second hash; then another seed is taken."""
-    text = docs.select(F.coalesce(F.col("doc_id"), F.lit(0)).cast("long").alias("doc"), "text").where(F.octet_length("text") >= LENGTH)
+    text = docs.select(F.coalesce(F.col("doc_id"), F.lit(0)).cast("long").alias("doc"), "text").where(F.octet_length("text") >= least)
     seed = 1
     while True:
         tid, check = identity(seed)
-        named = text.select("doc", tid.alias("tid"), check.alias("c"))
-        texts = cut(named.groupBy("tid").agg(F.min("doc").alias("doc"), F.count("*").alias("copies"), F.min("c").alias("low"), F.max("c").alias("high")), "texts")
+        rows = text.select("doc", tid.alias("tid"), check.alias("c"))
+        texts = cut(rows.groupBy("tid").agg(F.min("doc").alias("doc"), F.count("*").alias("copies"), F.min("c").alias("low"), F.max("c").alias("high")), "texts")
         if not texts.where("low <> high").limit(1).count():
             break
         release(texts)
         seed += 1
-    text = text.withColumn("tid", identity(seed)[0])
+    return text.withColumn("tid", identity(seed)[0]), texts, seed
+
+
+def spans(text: DataFrame, texts: DataFrame) -> DataFrame:
+    """(tid, starts): runs of starts of repeated windows of each text that is
+    not repeated as a whole, for what ``named`` gives."""
+    text = text.where(F.octet_length("text") >= LENGTH)
     found = cut(_minimisers(text.select("tid", "text")), "minimisers")
     place = F.xxhash64("tid", "pos")
     keys = found.groupBy("key").agg(F.min(place).alias("a"), F.max(place).alias("b"), F.count("*").alias("n")).where("a <> b")
     keys = cut(keys.select("key", "n", F.ceil(F.col("n") / HOT).cast("int").alias("parts")), "keys")
-    # A key at a thousandth of all places or more is one of a thousand at most:
-    # these go with the tasks, so none gathers its places in one task.
-    often = F.col("n") * OFTEN >= found.count()
-    kept = found.join(F.broadcast(keys.where(often)), "key").unionByName(found.join(keys.where(~often), "key"))
+    kept = matched(found, keys, ["key"], OFTEN)
     salt = F.when(F.col("parts") > 1, F.pmod(F.xxhash64("tid", F.lit(7)), F.col("parts")).cast("int") + 1).otherwise(0)
     kept = kept.select("tid", F.struct("key", salt.alias("salt"), "pos", "low", "high").alias("p")).groupBy("tid").agg(F.collect_list("p").alias("places"))
     kept = kept.join(texts.select("tid", "doc"), "tid")
@@ -416,21 +410,29 @@ def spans(docs: DataFrame) -> tuple[DataFrame, DataFrame, int]:
     where = F.xxhash64("tid", "start")
     twice = still.groupBy("open1", "open2").agg(F.min(where).alias("a"), F.max(where).alias("b")).where("a <> b").select("open1", "open2")
     closed = closed.unionByName(still.join(twice, ["open1", "open2"]).select("tid", "start", "stop"))
-    return closed.groupBy("tid").agg(F.collect_list(F.struct("start", "stop")).alias("starts")), texts, seed
+    return closed.groupBy("tid").agg(F.collect_list(F.struct("start", "stop")).alias("starts"))
 
 
-def deduplicated(docs: DataFrame) -> DataFrame:
-    """doc_id, n_bytes, removed (runs of removed bytes as (from, to)), kept."""
-    found, texts, seed = spans(docs)
+def deduplicated(docs: DataFrame, shared: bool = False) -> DataFrame:
+    """doc_id, n_bytes, removed (runs of removed bytes as (from, to)), kept,
+    shared: whether the text has a passage of another document (see passages;
+    false unless asked for)."""
+    least = min(LENGTH, passages.LEAST) if shared else LENGTH
+    text, texts, seed = named(docs, least)
+    found = spans(text, texts)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    rows = rows.withColumn("tid", F.when(F.octet_length("text") >= LENGTH, identity(seed)[0]))
-    marks = texts.where("copies > 1").select("tid", F.lit(True).alias("whole"))
-    rows = rows.join(marks.join(found, "tid", "full"), "tid", "left").select("doc_id", "text", F.coalesce("whole", F.lit(False)).alias("whole"), "starts")
+    rows = rows.withColumn("tid", F.when(F.octet_length("text") >= least, identity(seed)[0]))
+    marks = texts.where("copies > 1").select("tid", F.lit(True).alias("whole")).join(found, "tid", "full")
+    if shared:
+        marks = marks.join(passages.shared(text, texts, OFTEN).withColumn("shared", F.lit(True)), "tid", "full")
+    rows = rows.join(marks, "tid", "left").withColumn("whole", F.coalesce("whole", F.lit(False)))
+    passage = F.coalesce(F.col("shared"), F.col("whole") & (F.size(words(F.col("text"))) >= passages.WORDS)) if shared else F.lit(False)
+    rows = rows.select("doc_id", "text", (F.col("whole") & (F.octet_length("text") >= LENGTH)).alias("whole"), "starts", passage.alias("shared"))
 
     def run(batches):
         import pyarrow as pa
 
-        names = ["doc_id", "n_bytes", "removed", "kept"]
+        names = ["doc_id", "n_bytes", "removed", "kept", "shared"]
         run_type = pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())]))
         for batch in batches:
             raw, at = buffers(batch.column(1))
@@ -450,14 +452,23 @@ def deduplicated(docs: DataFrame) -> DataFrame:
                 kept.append(b"".join([*out, text[end:]]))
                 runs_of.append([{"start": a, "stop": b} for a, b in runs])
                 size.append(len(text))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size, pa.int64()), pa.array(runs_of, run_type), pa.array(kept, pa.binary())], names)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size, pa.int64()), pa.array(runs_of, run_type), pa.array(kept, pa.binary()), batch.column(4)], names)
+
+    return rows.mapInArrow(run, "doc_id long, n_bytes long, removed array<struct<start:int,stop:int>>, kept binary, shared boolean")
 
-    return rows.mapInArrow(run, "doc_id long, n_bytes long, removed array<struct<start:int,stop:int>>, kept binary")
+
+def _report(rows: DataFrame, *more) -> DataFrame:
+    removed = F.aggregate("removed", F.lit(0).cast("long"), lambda n, x: n + x["stop"] - x["start"])
+    return rows.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"), (F.size("removed") > 0).alias("has_repeats"), *more)
 
 
 def dedup_report(docs: DataFrame) -> DataFrame:
     """The contract's view: sizes, runs and digest of what is kept; besides,
     whether anything of the text repeats."""
-    rows = deduplicated(docs)
-    removed = F.aggregate("removed", F.lit(0).cast("long"), lambda n, x: n + x["stop"] - x["start"])
-    return rows.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"), (F.size("removed") > 0).alias("has_repeats"))
+    return _report(deduplicated(docs))
+
+
+def passage_report(docs: DataFrame) -> DataFrame:
+    """dedup_report, and whether the text has a passage of over 50 words of
+    another document, which can be shorter than LENGTH bytes and then stays."""
+    return _report(deduplicated(docs, shared=True), F.col("shared").alias("has_shared_passage"))
